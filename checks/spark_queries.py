@@ -4,9 +4,21 @@ from pyspark.sql import functions as F
 
 from checks.duckdb_sql import CENT, HOLDOUT, METRIC_NAMES, MICRO, PRICE_COLUMNS, UNIT_STATISTICS, WINDOW_COLUMNS
 from checks.rounding import rounded
-from demandcast.operators import aggregate, clean, encode, evaluate, history, impute, scoring, split
+from demandcast.operators import (
+    aggregate,
+    clean,
+    encode,
+    evaluate,
+    history,
+    impute,
+    models,
+    scoring,
+    split,
+)
 from demandcast.operators.series import series_features, zero_fill
 from demandcast.plans.features import build_features, with_features, with_row_features
+from demandcast.plans.score import batch_score, forecast_latest
+from demandcast.plans.train import train_forecaster
 from demandcast.schema import (
     DAILY_KEYS,
     ENCODED,
@@ -16,6 +28,7 @@ from demandcast.schema import (
     LAGS,
     ROLLING_WINDOWS,
 )
+from demandcast.session import materialize
 from demandcast.sources.star import star_inventory, star_sales
 
 KEYS = ("date", "product_id", "city_name")
@@ -211,6 +224,51 @@ def explain_prompt(spark, folder):
     )
 
 
+SMALL_GBT = {"maxIter": 10, "maxDepth": 4}
+SMALL_RF = {"numTrees": 10, "maxDepth": 6}
+_trained = {}
+
+
+def training(spark, folder):
+    """One trained forecaster per application and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _trained:
+        rows = rows_for_models(spark, folder)
+        _trained[key] = train_forecaster(rows, HOLDOUT, SMALL_GBT, SMALL_RF)
+    return _trained[key]
+
+
+def single_model(name):
+    column = models.BASES[name]
+    return lambda spark, folder: training(spark, folder).predictions().select(
+        *KEYS, "true", column
+    )
+
+
+def hyperparam_search(spark, folder):
+    """Two drawn parameter sets per family over three date folds."""
+    rows = materialize(split.folds_by_date(rows_for_models(spark, folder), 3), "folds")
+    gbt = models.hyperparam_search(
+        rows, "gbt", 2, {**models.GBT_SPACE, "maxDepth": ("int", 3, 5)}, {"maxIter": 5}
+    )
+    rf = models.hyperparam_search(rows, "rf", 2, {"maxDepth": ("int", 4, 6)}, {"numTrees": 5})
+    return gbt.withColumn("family", F.lit("gbt")).unionByName(
+        rf.withColumn("family", F.lit("rf"))
+    )
+
+
+def contributions(spark, folder):
+    latest = forecast_latest(feature_table(spark, folder).rows, training(spark, folder).forecaster)
+    pairs = latest.withColumnsRenamed({"city": "city_name", "product": "product_id"})
+    return scoring.contributions(pairs, models.BASES)
+
+
+def batch_scores(spark, folder):
+    rows = feature_table(spark, folder).rows
+    scored = batch_score(rows, training(spark, folder).forecaster)
+    return scored.select(*KEYS, "pred_gbt", "pred_rf", "pred_final")
+
+
 QUERIES = {
     "scan_sales": scan_sales,
     "scan_inventory": star_inventory,
@@ -277,4 +335,25 @@ QUERIES = {
     "latest_per_pair": latest_per_pair,
     "align_features": align_features,
     "explain_prompt": explain_prompt,
+    "train_gbt": single_model("gbt"),
+    "train_rf": single_model("rf"),
+    "stacking_meta": lambda s, d: training(s, d).meta_scores,
+    "select_meta": lambda s, d: models.select_meta(training(s, d).meta_scores),
+    "trained_metrics": lambda s, d: training(s, d).metrics(),
+    "prediction_summary": lambda s, d: training(s, d).predictions(),
+    "prediction_pairs": lambda s, d: evaluate.prediction_pairs(
+        training(s, d).predictions(), "true", "pred_meta"
+    ),
+    "feature_importance": lambda s, d: models.feature_importance(
+        training(s, d).forecaster.gbt, s
+    ),
+    "top_features": lambda s, d: models.top_features(
+        models.feature_importance(training(s, d).forecaster.gbt, s), 25
+    ),
+    "hyperparam_search": hyperparam_search,
+    "batch_score": batch_scores,
+    "forecast_latest": lambda s, d: forecast_latest(
+        feature_table(s, d).rows, training(s, d).forecaster
+    ),
+    "contributions": contributions,
 }

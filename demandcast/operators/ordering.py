@@ -22,9 +22,21 @@ def split_keys(df: DataFrame, order: list[str], pieces: int = PIECES) -> Column:
     return sample.agg(F.sort_array(F.collect_list(F.struct(*order)))).scalar()
 
 
-def piece_of(key: Column, splits: Column) -> Column:
-    """Number of split keys at or below `key`: never falls as the key grows."""
-    return F.size(F.filter(splits, lambda split: split <= key))
+def piece_of(key: Column, splits: Column, pieces: int) -> Column:
+    """Number of split keys (sorted, at most `pieces`) at or below `key`.
+
+    It never falls as the key grows. A binary search, and never null: joins on
+    a nullable expression would push a null test, and the search with it, below
+    the aggregate that feeds them.
+    """
+    steps = [2**i for i in reversed(range(max(pieces, 1).bit_length()))]
+
+    def advance(found, step):
+        at_or_below = F.coalesce(F.get(splits, found + step - 1) <= key, F.lit(False))
+        return F.when(at_or_below, found + step).otherwise(found)
+
+    search = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    return F.coalesce(search, F.lit(0))
 
 
 def preceding_total(
@@ -35,7 +47,7 @@ def preceding_total(
     Rows must be unique in `order` and free of nulls there.
     """
     placed = df.withColumn("_splits", split_keys(df, order, pieces)).withColumn(
-        "_piece", piece_of(F.struct(*order), F.col("_splits"))
+        "_piece", piece_of(F.struct(*order), F.col("_splits"), pieces)
     )
     earlier = W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     # At most pieces + 1 rows, so the unpartitioned window and the broadcast

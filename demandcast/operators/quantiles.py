@@ -9,9 +9,11 @@ ordered. The approximate cut points never touch the result.
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from demandcast.operators.ordering import piece_of
+
 PIECES = 128
 # Distinct values that one task may order without being cut into pieces.
-WHOLE = 1_000_000
+WHOLE = 100_000
 
 
 def _attach(df: DataFrame, side: DataFrame, by: list[str]) -> DataFrame:
@@ -47,8 +49,9 @@ def exact_quantiles(
         _attach(counted, sizes, by)
         .withColumn(
             "_piece",
-            F.when(F.col("_distinct") <= whole, F.lit(0)).otherwise(
-                F.size(F.filter("_cuts", lambda cut: cut <= F.col("_v")))
+            F.coalesce(
+                F.when(F.col("_distinct") > whole, piece_of(F.col("_v"), F.col("_cuts"), pieces)),
+                F.lit(0),
             ),
         )
         .drop("_cuts", "_distinct")

@@ -28,12 +28,12 @@ class FeatureTable:
 
 
 def daily_table(sales: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Daily product-city rows with stock and without price gaps.
+    """Daily product-city rows with stock."""
+    return join_inventory(daily_sales(sales), inventory_stock(inventory))
 
-    Price volatility is never null after the daily aggregate, so only the two
-    prices need medians.
-    """
-    daily = join_inventory(daily_sales(sales), inventory_stock(inventory))
+
+def fill_prices(daily: DataFrame) -> DataFrame:
+    """Close price gaps. Price volatility has none after the daily aggregate."""
     return impute_median(daily, ("selling_price", "mrp"))
 
 
@@ -77,5 +77,5 @@ def build_features(
     daily = materialize(daily_table(drop_outliers(sales), inventory), "daily")
     if vocabulary is None:
         vocabulary = materialize(fit_vocabulary(with_row_features(daily)), "vocabulary")
-    rows = label_encode(with_split_features(daily), vocabulary)
+    rows = label_encode(with_split_features(fill_prices(daily)), vocabulary)
     return FeatureTable(materialize(rows, "features"), vocabulary)
