@@ -123,7 +123,8 @@ def impute_median(spark, folder):
             "mrp": F.when(F.col("category") != "CAT0", F.col("mrp")),
         }
     )
-    return comparable(impute.impute_median(gappy), *KEYS, "selling_price", "mrp")
+    stored = materialize(gappy, "gappy")
+    return comparable(impute.impute_median(stored), *KEYS, "selling_price", "mrp")
 
 
 def data_profile(spark, folder):

@@ -9,7 +9,7 @@ from demandcast.functions.prices import price_columns
 from demandcast.operators.aggregate import daily_sales, inventory_stock, join_inventory
 from demandcast.operators.clean import drop_outliers
 from demandcast.operators.encode import fit_vocabulary, label_encode
-from demandcast.operators.impute import impute_median
+from demandcast.operators.impute import any_null, column_medians, fill_gaps, series_medians
 from demandcast.operators.series import series_features, zero_fill
 from demandcast.schema import SERIES
 from demandcast.session import materialize
@@ -17,6 +17,7 @@ from demandcast.session import materialize
 # A series past this many daily rows is cut into blocks of BLOCK_ROWS.
 LONG_SERIES = 500_000
 BLOCK_ROWS = 50_000
+MOST_LONG = 100_000
 
 
 @dataclass
@@ -33,8 +34,21 @@ def daily_table(sales: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def fill_prices(daily: DataFrame) -> DataFrame:
-    """Close price gaps. Price volatility has none after the daily aggregate."""
-    return impute_median(daily, ("selling_price", "mrp"))
+    """Close price gaps of a stored daily table.
+
+    Each step runs only if it is needed: the driver reads whether any price is
+    missing, and then whether any product has no price at all. Price
+    volatility has no gaps after the daily aggregate.
+    """
+    columns = ("selling_price", "mrp")
+    if not daily.agg(F.bool_or(any_null(columns))).first()[0]:
+        return daily
+    per_series = materialize(series_medians(daily, columns), "medians")
+    unpriced = any_null([f"_product_{c}" for c in columns])
+    overall = None
+    if per_series.agg(F.bool_or(unpriced)).first()[0]:
+        overall = materialize(column_medians(daily, columns), "column-medians")
+    return fill_gaps(daily, per_series, overall, columns)
 
 
 def with_row_features(daily: DataFrame) -> DataFrame:
@@ -48,21 +62,30 @@ def with_features(daily: DataFrame, block_rows: int | None = None) -> DataFrame:
 
 
 def with_split_features(
-    daily: DataFrame, long_series: int = LONG_SERIES, block_rows: int = BLOCK_ROWS
+    daily: DataFrame,
+    long_series: int = LONG_SERIES,
+    block_rows: int = BLOCK_ROWS,
+    most_long: int = MOST_LONG,
 ) -> DataFrame:
     """`with_features`, with blocks for just those series that need them.
 
-    Reads one number on the driver: the length of the longest series.
+    `daily` should be stored. Reads one number on the driver: how many
+    series are long. The list of long series is
+    broadcast below that count; a join on the series key would first gather
+    each long series in one task. Past it, every series is cut.
     """
     lengths = daily.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("rows"))
-    longest = lengths.agg(F.max("rows")).first()[0] or 0
-    if longest <= long_series:
-        return with_features(daily)
-    hot = lengths.where(F.col("rows") > long_series).select(*SERIES)
-    keys = list(SERIES)
-    short = with_features(daily.join(hot, keys, "left_anti"))
-    long = with_features(daily.join(hot, keys, "left_semi"), block_rows)
-    return short.unionByName(long)
+    long = F.col("rows") > long_series
+    count = lengths.where(long).count()
+    if count == 0:
+        return with_features(fill_prices(daily))
+    if count > most_long:
+        return with_features(fill_prices(daily), block_rows)
+    names = F.broadcast(lengths.where(long).select(*SERIES))
+    filled = materialize(fill_prices(daily), "filled")
+    short = filled.join(names, list(SERIES), "left_anti")
+    cut = filled.join(names, list(SERIES), "left_semi")
+    return with_features(short).unionByName(with_features(cut, block_rows))
 
 
 def build_features(
@@ -77,5 +100,5 @@ def build_features(
     daily = materialize(daily_table(drop_outliers(sales), inventory), "daily")
     if vocabulary is None:
         vocabulary = materialize(fit_vocabulary(with_row_features(daily)), "vocabulary")
-    rows = label_encode(with_split_features(fill_prices(daily)), vocabulary)
+    rows = label_encode(with_split_features(daily), vocabulary)
     return FeatureTable(materialize(rows, "features"), vocabulary)
