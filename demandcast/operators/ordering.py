@@ -9,34 +9,57 @@ pieces are, so a small hash sample of the keys is enough.
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-PIECES = 256
+SIDE = 16
+PIECES = SIDE * SIDE
+
+
+def order_key(order: list[str]) -> Column:
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
 def split_keys(df: DataFrame, order: list[str], pieces: int = PIECES) -> Column:
-    """Scalar subquery: sorted array of at most `pieces` sampled order keys.
+    """Scalar subquery: sorted array of less than `pieces` sampled order keys.
 
     The rows with the lowest key hash are a uniform sample that stays the same
-    when a lost task is run again.
+    when a lost task is run again. Ordering by all columns keeps them in this
+    plan, so that it shares its shuffle with the plan that reads the pieces.
     """
-    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(pieces)
-    return sample.agg(F.sort_array(F.collect_list(F.struct(*order)))).scalar()
+    sample = df.orderBy(F.xxhash64(*order), *df.columns).limit(pieces - 1)
+    return sample.agg(F.sort_array(F.collect_list(order_key(order)))).scalar()
 
 
-def piece_of(key: Column, splits: Column, pieces: int) -> Column:
-    """Number of split keys (sorted, at most `pieces`) at or below `key`.
+def _count_at_or_below(key: Column, split, low: int, high: int) -> Column:
+    """Binary search as nested conditions, which compile to plain code."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(
+        F.coalesce(split(middle) <= key, F.lit(False)),
+        _count_at_or_below(key, split, middle + 1, high),
+    ).otherwise(_count_at_or_below(key, split, low, middle))
 
-    It never falls as the key grows. A binary search, and never null: joins on
-    a nullable expression would push a null test, and the search with it, below
-    the aggregate that feeds them.
-    """
-    steps = [2**i for i in reversed(range(max(pieces, 1).bit_length()))]
 
-    def advance(found, step):
-        at_or_below = F.coalesce(F.get(splits, found + step - 1) <= key, F.lit(False))
-        return F.when(at_or_below, found + step).otherwise(found)
+def with_piece(df: DataFrame, order: list[str], splits: Column) -> DataFrame:
+    """Add `_piece`, the number of split keys at or below the row's key.
 
-    search = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
-    return F.coalesce(search, F.lit(0))
+    It never falls as the key grows. The search finds a block of SIDE splits
+    first and the place in the block second. The result is never null: joins
+    on a nullable expression would push a null test, and the search with it,
+    below the aggregate that feeds them.
+    """
+    key = order_key(order)
+    block = _count_at_or_below(
+        key, lambda i: F.get("_splits", F.lit(SIDE * i + SIDE - 1)), 0, SIDE - 1
+    )
+    place = _count_at_or_below(
+        key, lambda i: F.get("_splits", F.col("_block") * SIDE + i), 0, SIDE - 1
+    )
+    return (
+        df.withColumn("_splits", splits)
+        .withColumn("_block", block)
+        .withColumn("_piece", F.coalesce(F.col("_block") * SIDE + place, F.lit(0)))
+        .drop("_splits", "_block")
+    )
 
 
 def preceding_total(
@@ -46,11 +69,9 @@ def preceding_total(
 
     Rows must be unique in `order` and free of nulls there.
     """
-    placed = df.withColumn("_splits", split_keys(df, order, pieces)).withColumn(
-        "_piece", piece_of(F.struct(*order), F.col("_splits"), pieces)
-    )
+    placed = with_piece(df, order, split_keys(df, order, pieces))
     earlier = W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    # At most pieces + 1 rows, so the unpartitioned window and the broadcast
+    # At most `pieces` rows, so the unpartitioned window and the broadcast
     # have a fixed bound.
     offsets = (
         placed.groupBy("_piece")
@@ -62,5 +83,5 @@ def preceding_total(
     return (
         placed.join(F.broadcast(offsets), "_piece")
         .withColumn(name, F.col("_offset") + F.coalesce(before, F.lit(0)))
-        .drop("_piece", "_splits", "_offset")
+        .drop("_piece", "_offset")
     )

@@ -9,9 +9,7 @@ large share of the values is spread over as large a share of the pieces.
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from demandcast.operators.ordering import piece_of, split_keys
-
-PIECES = 512
+from demandcast.operators.ordering import PIECES, split_keys, with_piece
 
 
 def exact_quantiles(
@@ -35,11 +33,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     order = [*by, "_v"]
-    placed = (
-        counted.withColumn("_splits", split_keys(counted, order, pieces))
-        .withColumn("_piece", piece_of(F.struct(*order), F.col("_splits"), pieces))
-        .drop("_splits")
-    )
+    placed = with_piece(counted, order, split_keys(counted, order, pieces))
 
     ranks = {}
     for name, p in probabilities.items():
