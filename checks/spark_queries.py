@@ -16,7 +16,7 @@ from demandcast.operators import (
     split,
 )
 from demandcast.operators.series import series_features, zero_fill
-from demandcast.plans.features import build_features, with_features, with_row_features
+from demandcast.plans.features import build_features, with_features
 from demandcast.plans.score import batch_score, forecast_latest
 from demandcast.plans.train import train_forecaster
 from demandcast.schema import (
@@ -304,9 +304,7 @@ QUERIES = {
     "min_history": lambda s, d: split.min_history(with_features(joined(s, d))).select(
         *KEYS, "units_sold"
     ),
-    "encoder_vocab": lambda s, d: encode.fit_vocabulary(
-        with_row_features(aggregate.daily_sales(clean.drop_outliers(star_sales(s, d))))
-    ),
+    "encoder_vocab": lambda s, d: encode.fit_vocabulary(feature_table(s, d).rows),
     "label_encode": lambda s, d: feature_table(s, d).rows.select(
         *KEYS, *[f"{c}_enc" for c in ENCODED]
     ),
