@@ -12,6 +12,16 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[normal_header(c) for c in df.columns])
 
 
+def nulls_for_nan(df: DataFrame) -> DataFrame:
+    """NaN becomes null in every floating-point column."""
+    return df.select(
+        *[
+            F.when(~F.isnan(c), F.col(c)).alias(c) if kind in ("double", "float") else F.col(c)
+            for c, kind in df.dtypes
+        ]
+    )
+
+
 def parse_dates(df: DataFrame, date_format: str, column: str = "date") -> DataFrame:
     """Text to date; rows whose text does not fit the format are dropped."""
     parsed = F.try_to_timestamp(F.col(column), F.lit(date_format)).cast("date")

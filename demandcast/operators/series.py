@@ -172,10 +172,13 @@ def series_features(daily: DataFrame, block_rows: int | None = None) -> DataFram
 
 def zero_fill(df: DataFrame) -> DataFrame:
     """Null numbers become 0, except in the targets."""
-    numeric = [
-        name
-        for name, kind in df.dtypes
-        if kind in ("double", "float", "int", "bigint", "smallint", "tinyint")
-        and name not in TARGETS + ("target",)
-    ]
-    return df.na.fill(0, subset=numeric)
+    kinds = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    kept = (*TARGETS, "target", *SERIES, *SERIES_ORDER)
+    return df.select(
+        *[
+            F.coalesce(F.col(name), F.lit(0).cast(kind)).alias(name)
+            if kind in kinds and name not in kept
+            else F.col(name)
+            for name, kind in df.dtypes
+        ]
+    )

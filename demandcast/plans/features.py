@@ -4,10 +4,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from demandcast.functions.calendar import calendar_columns
+from demandcast.functions.calendar import calendar_columns, season
 from demandcast.functions.prices import price_columns
 from demandcast.operators.aggregate import daily_sales, inventory_stock, join_inventory
-from demandcast.operators.clean import drop_outliers
+from demandcast.operators.clean import drop_outliers, nulls_for_nan
 from demandcast.operators.encode import fit_vocabulary, label_encode
 from demandcast.operators.impute import any_null, column_medians, fill_gaps, series_medians
 from demandcast.operators.series import series_features, zero_fill
@@ -51,6 +51,22 @@ def fill_prices(daily: DataFrame) -> DataFrame:
     return fill_gaps(daily, per_series, overall, columns)
 
 
+def with_codes(daily: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Season and label codes, joined while rows are still narrow.
+
+    Product and city codes come in on the whole series key: the series windows
+    then need no other shuffle, and a hot product is not gathered in one task
+    however large the vocabulary is.
+    """
+    labelled = label_encode(
+        daily.withColumn("season", season("date")),
+        vocabulary,
+        ("category", "sub_category", "season"),
+    )
+    codes = label_encode(daily.select(*SERIES).distinct(), vocabulary, SERIES)
+    return labelled.join(codes, list(SERIES), "left")
+
+
 def with_row_features(daily: DataFrame) -> DataFrame:
     """Calendar and price columns."""
     return daily.withColumns({**calendar_columns(), **price_columns()})
@@ -61,30 +77,27 @@ def with_features(daily: DataFrame, block_rows: int | None = None) -> DataFrame:
     return zero_fill(series_features(with_row_features(daily), block_rows))
 
 
+def long_series(daily: DataFrame, rows: int = LONG_SERIES) -> DataFrame:
+    """Keys of the series with more than `rows` daily rows."""
+    lengths = daily.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_rows"))
+    return lengths.where(F.col("_rows") > rows).select(*SERIES)
+
+
 def with_split_features(
-    daily: DataFrame,
-    long_series: int = LONG_SERIES,
-    block_rows: int = BLOCK_ROWS,
-    most_long: int = MOST_LONG,
+    daily: DataFrame, names: DataFrame, count: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """`with_features`, with blocks for just those series that need them.
+    """`with_features`, with blocks for just the `count` series in `names`.
 
-    `daily` should be stored. Reads one number on the driver: how many
-    series are long. The list of long series is
-    broadcast below that count; a join on the series key would first gather
-    each long series in one task. Past it, every series is cut.
+    `daily` must be stored: rows that come out of a join on the series key
+    would already lie with a whole long series in one task. For the same
+    reason the names are broadcast, as long as they are few; past that, every
+    series is cut.
     """
-    lengths = daily.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("rows"))
-    long = F.col("rows") > long_series
-    count = lengths.where(long).count()
-    if count == 0:
-        return with_features(fill_prices(daily))
-    if count > most_long:
-        return with_features(fill_prices(daily), block_rows)
-    names = F.broadcast(lengths.where(long).select(*SERIES))
-    filled = materialize(fill_prices(daily), "filled")
-    short = filled.join(names, list(SERIES), "left_anti")
-    cut = filled.join(names, list(SERIES), "left_semi")
+    if count > MOST_LONG:
+        return with_features(daily, block_rows)
+    few = F.broadcast(names)
+    short = daily.join(few, list(SERIES), "left_anti")
+    cut = daily.join(few, list(SERIES), "left_semi")
     return with_features(short).unionByName(with_features(cut, block_rows))
 
 
@@ -97,8 +110,16 @@ def build_features(
     once more for the outlier limit. A given `vocabulary` (when scoring with a
     trained model) is used as it is.
     """
+    sales, inventory = nulls_for_nan(sales), nulls_for_nan(inventory)
     daily = materialize(daily_table(drop_outliers(sales), inventory), "daily")
     if vocabulary is None:
-        vocabulary = materialize(fit_vocabulary(with_row_features(daily)), "vocabulary")
-    rows = label_encode(with_split_features(daily), vocabulary)
+        seasoned = daily.withColumn("season", season("date"))
+        vocabulary = materialize(fit_vocabulary(seasoned), "vocabulary")
+    coded = with_codes(fill_prices(daily), vocabulary)
+    names = long_series(daily)
+    count = names.count()
+    if count == 0:
+        rows = with_features(coded)
+    else:
+        rows = with_split_features(materialize(coded, "coded"), names, count)
     return FeatureTable(materialize(rows, "features"), vocabulary)

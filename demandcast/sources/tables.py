@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from demandcast.operators.clean import normalize_columns, parse_dates
+from demandcast.operators.clean import normalize_columns, nulls_for_nan, parse_dates
 from demandcast.schema import INVENTORY, SALES
 
 # Texts that stand for a missing value in CSV input.
@@ -31,10 +31,9 @@ def _typed(df: DataFrame, schema) -> DataFrame:
     for f in schema:
         value = F.col(f.name)
         if f.dataType.simpleString() == "double":
-            number = value.try_cast("double")
-            value = F.when(~F.isnan(number), number)
+            value = value.try_cast("double")
         columns.append(value.alias(f.name))
-    return df.select(*columns)
+    return nulls_for_nan(df.select(*columns))
 
 
 def read_sales(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd") -> DataFrame:

@@ -1,15 +1,18 @@
-import datetime
 import math
 
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from demandcast.operators.aggregate import daily_sales
 from demandcast.operators.series import series_features, zero_fill
-from demandcast.plans.features import with_features, with_row_features, with_split_features
+from demandcast.plans.features import (
+    long_series,
+    with_features,
+    with_row_features,
+    with_split_features,
+)
 from demandcast.schema import FREQUENCY_WINDOWS, HORIZONS, LAGS, ROLLING_WINDOWS
 from demandcast.session import materialize
 from tests.conftest import days, values
@@ -126,14 +129,17 @@ def test_against_pandas(sales, block_rows):
             )
 
 
-def test_only_long_series_are_cut(sales):
+def test_only_long_series_are_cut(sales, monkeypatch):
     """A hot series next to a short one gives the same rows as plain windows."""
     rows = [(d, i % 7) for i, d in enumerate(days(150))]
     rows += [(d, 2, {"city_name": "y"}) for d in days(9)]
     daily = materialize(daily_sales(sales(*rows)), "test")
     plain = {(r.city_name, r.date): r for r in with_features(daily).collect()}
-    for options in ({"long_series": 100}, {"long_series": 100, "most_long": 0}):
-        cut = with_split_features(daily, block_rows=40, **options).select(plain["x", rows_day(0)].__fields__)
+    fields = next(iter(plain.values())).__fields__
+    names = long_series(daily, 100)
+    monkeypatch.setattr("demandcast.plans.features.MOST_LONG", 1)
+    for count in (1, 2):
+        cut = with_split_features(daily, names, count, block_rows=40).select(*fields)
         got = {(r.city_name, r.date): r for r in cut.collect()}
         assert got.keys() == plain.keys()
         for key, row in got.items():
@@ -144,10 +150,6 @@ def test_only_long_series_are_cut(sales):
                     assert a == b, name
 
 
-def rows_day(i):
-    return datetime.date.fromisoformat(days(i + 1)[i])
-
-
 def test_one_shuffle_for_all_windows(sales):
     daily = materialize(daily_sales(sales(*zip(days(40), range(40)))), "test")
     plan = zero_fill(series_features(daily))._jdf.queryExecution().executedPlan().toString()
