@@ -199,3 +199,17 @@ def best_trial(results: DataFrame) -> DataFrame:
     """The parameter set with the least mean error over its folds."""
     means = results.groupBy("trial", "params").agg(F.avg("mae").alias("mae"))
     return means.orderBy("mae", "trial").limit(1)
+
+
+def drawn_params(
+    results: DataFrame,
+    family: str,
+    trials: int,
+    space: dict | None = None,
+    fixed: dict | None = None,
+    seed: int = SEED,
+) -> dict:
+    """The winning parameter set of a search made with the same arguments."""
+    default = GBT_SPACE if family == "gbt" else RF_SPACE
+    winner = best_trial(results).first()["trial"]
+    return {**(fixed or {}), **draw(space or default, trials, seed)[winner]}

@@ -1,0 +1,78 @@
+"""The three user-facing jobs: train, forecast every pair, score a table."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from demandcast.operators.models import drawn_params, hyperparam_search
+from demandcast.operators.split import folds_by_date, folds_by_position, model_rows
+from demandcast.plans.features import FeatureTable, build_features
+from demandcast.plans.score import batch_score, forecast_latest
+from demandcast.plans.train import Training, assign_roles, train_forecaster
+from demandcast.schema import HOLDOUT_DAYS
+from demandcast.session import materialize
+from demandcast.sources import artifacts
+
+
+def search_params(
+    rows: DataFrame,
+    trials: int,
+    folds: int,
+    holdout_days: int = HOLDOUT_DAYS,
+    reference_mode: bool = False,
+    spaces: dict | None = None,
+    fixed: dict | None = None,
+) -> dict:
+    """Best drawn parameters of both base models, by family.
+
+    Folds are cut by date within the rows before the holdout. In reference
+    mode they are cut by position over all rows, in product, city, date order.
+    """
+    if reference_mode:
+        folded = folds_by_position(rows, folds)
+    else:
+        marked = assign_roles(rows, holdout_days)
+        folded = folds_by_date(marked.where("role <> 'test'").drop("role"), folds)
+    folded = materialize(folded, "folds")
+    best = {}
+    for family in ("gbt", "rf"):
+        space, extra = (spaces or {}).get(family), (fixed or {}).get(family)
+        results = hyperparam_search(folded, family, trials, space, extra)
+        best[family] = drawn_params(results, family, trials, space, extra)
+    return best
+
+
+def run_training(
+    sales: DataFrame,
+    inventory: DataFrame,
+    folder: str,
+    holdout_days: int = HOLDOUT_DAYS,
+    params: dict | None = None,
+    trials: int = 0,
+    folds: int = 3,
+    reference_mode: bool = False,
+) -> tuple[FeatureTable, Training]:
+    """Features, optional search, training, and all results written to `folder`."""
+    table = build_features(sales, inventory)
+    rows = model_rows(table.rows)
+    params = params or {}
+    if trials:
+        found = search_params(rows, trials, folds, holdout_days, reference_mode, fixed=params)
+        params = found
+    training = train_forecaster(
+        rows, holdout_days, params.get("gbt"), params.get("rf"), reference_mode
+    )
+    artifacts.write_reports(training, table.vocabulary, folder)
+    return table, training
+
+
+def run_forecast(
+    spark: SparkSession, sales: DataFrame, inventory: DataFrame, folder: str
+) -> DataFrame:
+    """Forecast of every pair from raw tables, with the models and codes in `folder`."""
+    vocabulary = artifacts.load_vocabulary(spark, f"{folder}/vocabulary")
+    table = build_features(sales, inventory, vocabulary)
+    return forecast_latest(table.rows, artifacts.load_forecaster(spark, folder))
+
+
+def run_scoring(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    """Any table of feature columns, scored with the models in `folder`."""
+    return batch_score(rows, artifacts.load_forecaster(spark, folder))

@@ -5,13 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandcast.operators import models
-from demandcast.operators.aggregate import daily_sales
 from demandcast.operators.split import folds_by_date, model_rows
 from demandcast.plans.features import build_features
+from demandcast.plans.pipeline import run_forecast, run_scoring, run_training, search_params
 from demandcast.plans.score import batch_score, forecast_latest
 from demandcast.plans.train import Forecaster, NoForecast, assign_roles, train_forecaster
 from demandcast.schema import FEATURES, INVENTORY, METRICS
 from demandcast.sources import artifacts
+from demandcast.sources.tables import read_inventory, read_sales
 from demandcast.session import materialize
 from demandcast.streaming.score import score_uploads, write_scores
 from tests.conftest import days
@@ -150,3 +151,35 @@ def test_draws_stay_in_range():
             for name, (_, low, high) in space.items():
                 assert low <= float(params[name]) <= high
     assert models.draw(models.GBT_SPACE, 3) == models.draw(models.GBT_SPACE, 3)
+
+
+def test_jobs_from_csv(spark, table, tmp_path):
+    """Train from files, then forecast and score with what was written."""
+    sales = table.rows.select(
+        "date", "product_id", "product_name", "category", "sub_category", "city_name",
+        "units_sold", "selling_price", "mrp",
+    )
+    sales.write.csv(str(tmp_path / "sales"), header=True)
+    (tmp_path / "inventory.csv").write_text("Product_ID,City Name,Stock Quantity\np1,x,3\n")
+    raw = read_sales(spark, str(tmp_path / "sales"))
+    stock = read_inventory(spark, str(tmp_path / "inventory.csv"))
+    folder = str(tmp_path / "run")
+    small = {"gbt": {"maxIter": 2, "maxDepth": 2}, "rf": {"numTrees": 2, "maxDepth": 3}}
+    again, training = run_training(raw, stock, folder, params=small)
+    assert again.rows.count() == table.rows.count()
+    forecasts = run_forecast(spark, raw, stock, folder)
+    want = forecast_latest(table.rows, training.forecaster)
+    both = forecasts.withColumnRenamed("predicted_units_next_7d", "a").join(
+        want.withColumnRenamed("predicted_units_next_7d", "b"), ["city", "product"]
+    )
+    assert both.where("abs(a - b) < 1e-9").count() == 4
+    assert run_scoring(spark, raw, folder).where("pred_final is not null").count() == raw.count()
+
+
+@pytest.mark.parametrize("reference_mode", [False, True])
+def test_search_feeds_training(table, reference_mode):
+    spaces = {"gbt": {"maxDepth": ("int", 2, 3)}, "rf": {"maxDepth": ("int", 2, 4)}}
+    fixed = {"gbt": {"maxIter": 2}, "rf": {"numTrees": 2}}
+    best = search_params(model_rows(table.rows), 2, 2, 14, reference_mode, spaces, fixed)
+    assert best["gbt"]["maxIter"] == 2 and best["gbt"]["maxDepth"] in (2, 3)
+    assert best["rf"]["numTrees"] == 2 and best["rf"]["maxDepth"] in (2, 3, 4)
