@@ -2,7 +2,7 @@
 
 import argparse
 
-from demandcast.plans.pipeline import run_forecast, run_scoring, run_training
+from demandcast.plans.jobs import run_forecast, run_scoring, run_training
 from demandcast.schema import HOLDOUT_DAYS
 from demandcast.session import build_session
 from demandcast.sources.artifacts import write_forecasts

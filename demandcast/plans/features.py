@@ -12,7 +12,7 @@ from demandcast.operators.encode import fit_vocabulary, label_encode
 from demandcast.operators.impute import any_null, column_medians, fill_gaps, series_medians
 from demandcast.operators.series import series_features, zero_fill
 from demandcast.schema import SERIES
-from demandcast.session import materialize
+from demandcast.session import materialize, scratch
 
 # A series past this many daily rows is cut into blocks of BLOCK_ROWS.
 LONG_SERIES = 500_000
@@ -33,7 +33,7 @@ def daily_table(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     return join_inventory(daily_sales(sales), inventory_stock(inventory))
 
 
-def fill_prices(daily: DataFrame) -> DataFrame:
+def fill_prices(daily: DataFrame, store=materialize) -> DataFrame:
     """Close price gaps of a stored daily table.
 
     Each step runs only if it is needed: the driver reads whether any price is
@@ -43,11 +43,11 @@ def fill_prices(daily: DataFrame) -> DataFrame:
     columns = ("selling_price", "mrp")
     if not daily.agg(F.bool_or(any_null(columns))).first()[0]:
         return daily
-    per_series = materialize(series_medians(daily, columns), "medians")
+    per_series = store(series_medians(daily, columns), "medians")
     unpriced = any_null([f"_product_{c}" for c in columns])
     overall = None
     if per_series.agg(F.bool_or(unpriced)).first()[0]:
-        overall = materialize(column_medians(daily, columns), "column-medians")
+        overall = store(column_medians(daily, columns), "column-medians")
     return fill_gaps(daily, per_series, overall, columns)
 
 
@@ -106,20 +106,21 @@ def build_features(
 ) -> FeatureTable:
     """Run the feature job and store its results.
 
-    The daily table is stored first: the raw input is scanned once for it, and
-    once more for the outlier limit. A given `vocabulary` (when scoring with a
+    The daily table is stored for the length of the job: the raw input is
+    scanned once for it, and once more for the outlier limit. A given `vocabulary` (when scoring with a
     trained model) is used as it is.
     """
     sales, inventory = nulls_for_nan(sales), nulls_for_nan(inventory)
-    daily = materialize(daily_table(drop_outliers(sales), inventory), "daily")
-    if vocabulary is None:
-        seasoned = daily.withColumn("season", season("date"))
-        vocabulary = materialize(fit_vocabulary(seasoned), "vocabulary")
-    coded = with_codes(fill_prices(daily), vocabulary)
-    names = long_series(daily)
-    count = names.count()
-    if count == 0:
-        rows = with_features(coded)
-    else:
-        rows = with_split_features(materialize(coded, "coded"), names, count)
-    return FeatureTable(materialize(rows, "features"), vocabulary)
+    with scratch(sales.sparkSession) as store:
+        daily = store(daily_table(drop_outliers(sales), inventory), "daily")
+        if vocabulary is None:
+            seasoned = daily.withColumn("season", season("date"))
+            vocabulary = materialize(fit_vocabulary(seasoned), "vocabulary")
+        coded = with_codes(fill_prices(daily, store), vocabulary)
+        names = long_series(daily)
+        count = names.count()
+        if count == 0:
+            rows = with_features(coded)
+        else:
+            rows = with_split_features(store(coded, "coded"), names, count)
+        return FeatureTable(materialize(rows, "features"), vocabulary)

@@ -8,7 +8,7 @@ from demandcast.plans.features import FeatureTable, build_features
 from demandcast.plans.score import batch_score, forecast_latest
 from demandcast.plans.train import Training, assign_roles, train_forecaster
 from demandcast.schema import HOLDOUT_DAYS
-from demandcast.session import materialize
+from demandcast.session import scratch
 from demandcast.sources import artifacts
 
 
@@ -31,12 +31,13 @@ def search_params(
     else:
         marked = assign_roles(rows, holdout_days)
         folded = folds_by_date(marked.where("role <> 'test'").drop("role"), folds)
-    folded = materialize(folded, "folds")
     best = {}
-    for family in ("gbt", "rf"):
-        space, extra = (spaces or {}).get(family), (fixed or {}).get(family)
-        results = hyperparam_search(folded, family, trials, space, extra)
-        best[family] = drawn_params(results, family, trials, space, extra)
+    with scratch(rows.sparkSession) as store:
+        folded = store(folded, "folds")
+        for family in ("gbt", "rf"):
+            space, extra = (spaces or {}).get(family), (fixed or {}).get(family)
+            results = hyperparam_search(folded, family, trials, space, extra)
+            best[family] = drawn_params(results, family, trials, space, extra)
     return best
 
 

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _store(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once as parquet in the shared folder and read it back.
 
@@ -44,7 +50,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     checkpoint the result keeps column pruning, filter pushdown and known size
     (so later joins choose their strategy from real file sizes).
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _store(df, f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A `materialize` whose tables are removed at the end of the block."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield lambda df, label: _store(df, f"{folder}/{label}")
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

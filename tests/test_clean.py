@@ -1,3 +1,5 @@
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from demandcast.operators.clean import drop_outliers, normalize_columns, parse_d
 from demandcast.operators.impute import impute_median
 from demandcast.plans.features import fill_prices
 from demandcast.schema import INVENTORY
-from demandcast.session import materialize
+from demandcast.session import materialize, scratch, shared_folder
 from demandcast.sources.tables import read_inventory, read_sales
 from tests.conftest import values
 
@@ -106,3 +108,14 @@ def test_csv_input(spark, tmp_path):
     (tmp_path / "inv.csv").write_text("product_id,city_name\n1,x\n")
     with pytest.raises(ValueError, match="stock_quantity"):
         read_inventory(spark, str(tmp_path / "inv.csv"))
+
+
+def test_scratch_tables_are_removed(spark):
+    def folders():
+        return {p.name for p in pathlib.Path(shared_folder(spark)).iterdir()}
+
+    before = folders()
+    with scratch(spark) as store:
+        assert store(spark.range(5), "five").count() == 5
+        assert folders() - before
+    assert folders() == before

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from demandcast.operators import models
 from demandcast.operators.split import folds_by_date, model_rows
 from demandcast.plans.features import build_features
-from demandcast.plans.pipeline import run_forecast, run_scoring, run_training, search_params
+from demandcast.plans.jobs import run_forecast, run_scoring, run_training, search_params
 from demandcast.plans.score import batch_score, forecast_latest
 from demandcast.plans.train import Forecaster, NoForecast, assign_roles, train_forecaster
 from demandcast.schema import FEATURES, INVENTORY, METRICS
