@@ -3,7 +3,7 @@
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from demandcast.llm import packing, token_counts
+from demandcast.llm import packing, quality_rules, secret_scan, token_counts
 from demandcast.llm.common import table
 
 BYTE_BPE = path("byte_bpe_50k.json")
@@ -20,7 +20,19 @@ def op10_token_counts(spark, folder):
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op4_line_quality(spark, folder):
+    judged = quality_rules.quality(table(spark, folder, "documents"))
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept n_bad_lines kept_chars".split()
+    return judged.select("doc_id", *(F.col(f"quality.{name}").alias(name) for name in names))
+
+
+def op9_secret_scan(spark, folder):
+    return secret_scan.find_secrets(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op9_secret_scan": op9_secret_scan,
+    "op4_line_quality": op4_line_quality,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
