@@ -4,7 +4,8 @@ import os
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space ones.
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,6 +32,24 @@ def arrow(schema: str, *columns) -> pa.RecordBatch:
     )
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are never learned: crc32 of the id as text leaves 2 when divided by 4."""
+    return F.crc32(doc_id.cast("string")) % 4 == 2
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(text, label) of at most about `rows` documents with a label that may be learned.
+
+    The labels with the lowest hash of their id are taken, so the sample doesn't
+    depend on order or partitions. Only their ids are sent to the tasks, and
+    `rows` bounds them; the table of documents isn't shuffled. Labels of a
+    repeated id count once, the greater one; null labels and ids are left out.
+    """
+    usable = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
+    usable = usable.where("label IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(usable), "doc_id").select("text", "label")
+
+
 def slices(texts, budget: int):
     """Index ranges of `texts` with about `budget` characters each, one text at least."""
     start = size = 0

@@ -3,7 +3,7 @@
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from demandcast.llm import packing, quality_rules, secret_scan, token_counts
+from demandcast.llm import packing, quality_rules, secret_scan, token_counts, toxicity, url_filter
 from demandcast.llm.common import table
 
 BYTE_BPE = path("byte_bpe_50k.json")
@@ -30,7 +30,32 @@ def op9_secret_scan(spark, folder):
     return secret_scan.find_secrets(table(spark, folder, "documents"))
 
 
+#: The rules of the query.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op6_url_equivalence(spark, folder):
+    judged = url_filter.judge(table(spark, folder, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_toxicity_lexicon(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "matched", "n_words"
+    )
+
+
 QUERIES = {
+    "op5_toxicity_lexicon": op5_toxicity_lexicon,
+    "op6_url_equivalence": op6_url_equivalence,
     "op9_secret_scan": op9_secret_scan,
     "op4_line_quality": op4_line_quality,
     "op1_best_fit_packing": op1_best_fit_packing,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from demandcast.llm.common import arrow
 from demandcast.llm.tokens import array_slices, encoder
-from demandcast.session import shared_folder
+from demandcast.session import materialize, shared_folder
 
 CACHE = "text_digest binary, tokenizer string, n_tokens bigint"
 
@@ -68,6 +68,7 @@ def token_counts(docs: DataFrame, path: str, cache: str) -> DataFrame:
 
     distinct.mapInArrow(count, CACHE).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version)
-    counts = counts.groupBy("text_digest").agg(F.min("n_tokens").alias("n_tokens"))
+    # Stored, so that the join has a plain exchange on both sides and a hot digest can be split.
+    counts = materialize(counts.groupBy("text_digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")
     sizes = keyed.select("doc_id", "text_digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return sizes.join(counts, "text_digest").select("doc_id", "n_bytes", "n_tokens")
