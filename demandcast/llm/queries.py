@@ -3,7 +3,7 @@
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from demandcast.llm import packing, quality_rules, secret_scan, token_counts, toxicity, url_filter
+from demandcast.llm import decontaminate, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
 from demandcast.llm.common import table
 
 BYTE_BPE = path("byte_bpe_50k.json")
@@ -53,7 +53,19 @@ def op5_toxicity_lexicon(spark, folder):
     )
 
 
+def op8_subword_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_benchmark_leaks(spark, folder):
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
+    "op3_benchmark_leaks": op3_benchmark_leaks,
+    "op8_subword_quality": op8_subword_quality,
     "op5_toxicity_lexicon": op5_toxicity_lexicon,
     "op6_url_equivalence": op6_url_equivalence,
     "op9_secret_scan": op9_secret_scan,

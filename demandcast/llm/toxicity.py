@@ -123,7 +123,7 @@ def choose(counts, toxic: int, clean: int, least_weight: float) -> dict[str, flo
     found = {}
     for entry, pos, neg in counts:
         weight = log((pos + 0.5) / (toxic + 1)) - log((neg + 0.5) / (clean + 1))
-        if weight >= least_weight and weight / sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) >= 2.0:
+        if weight >= least_weight and weight / sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) >= 2.5:
             found[entry] = (weight, pos)
     kept: dict[str, float] = {}
     for entry in sorted(found, key=len):
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, size: int = 2_00
     """A lexicon and its scale, learned from at most `rows` labelled documents.
 
     Entries are counted by document in the tasks; the driver gets the `size`
-    strongest, which at least one in a hundred toxic documents has, and for the
+    strongest, which at least one in fifty toxic documents has, and for the
     scale two figures of each sampled document. Without labels of both kinds the
     lexicon is empty and every score is the same.
     """
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, size: int = 2_00
     if not toxic or not clean:
         return Lexicon({})
     odds = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5)
-    counts = count_entries(sample).where(F.col("toxic") >= max(2, toxic / 100)).where(odds * (clean + 1) / (toxic + 1) >= exp(least_weight))
+    counts = count_entries(sample).where(F.col("toxic") >= max(2, toxic / 50)).where(odds * (clean + 1) / (toxic + 1) >= exp(least_weight))
     top = counts.orderBy(F.desc(odds), F.desc("toxic"), "entry").limit(size).collect()
     lexicon = Lexicon(choose([tuple(r) for r in top], toxic, clean, least_weight))
 
