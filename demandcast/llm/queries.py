@@ -3,7 +3,7 @@
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from demandcast.llm import decontaminate, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
+from demandcast.llm import decontaminate, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
 from demandcast.llm.common import table
 
 BYTE_BPE = path("byte_bpe_50k.json")
@@ -63,7 +63,12 @@ def op3_benchmark_leaks(spark, folder):
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_order_minhash(spark, folder):
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op7_order_minhash": op7_order_minhash,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op8_subword_quality": op8_subword_quality,
     "op5_toxicity_lexicon": op5_toxicity_lexicon,

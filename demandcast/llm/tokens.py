@@ -103,7 +103,7 @@ def borders(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def _hashes(buf: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+def chunk_hashes(buf: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each chunk buf[cuts[i]:cuts[i+1]]; the last cut is the end.
 
     Polynomial sums modulo 2^64 of a fixed random word for each byte; blocks
@@ -208,7 +208,7 @@ class Encoder:
             return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
         starts = borders(buf, offsets[:-1][np.diff(offsets) > 0])
         cuts = np.append(starts, len(buf))
-        _, first, which = np.unique(_hashes(buf, cuts), return_index=True, return_inverse=True)
+        _, first, which = np.unique(chunk_hashes(buf, cuts), return_index=True, return_inverse=True)
         ids, counts, order = self._distinct(buf, cuts[first], cuts[first + 1])
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.cumsum(counts) - counts
