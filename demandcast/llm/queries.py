@@ -3,8 +3,8 @@
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from demandcast.llm import decontaminate, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
-from demandcast.llm.common import table
+from demandcast.llm import decontaminate, language_id, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
+from demandcast.llm.common import held_out, table
 
 BYTE_BPE = path("byte_bpe_50k.json")
 
@@ -67,7 +67,20 @@ def op7_order_minhash(spark, folder):
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_language_evidence(spark, folder):
+    """Pages and documents; the text model is counted on the documents that aren't held out."""
+    docs, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    of_pages = language_id.identify(language_id.page_evidence(pages), model)
+    of_docs = language_id.identify(language_id.document_evidence(docs), model)
+    none = F.lit(None).cast("long")
+    return of_pages.select(none.alias("doc_id"), F.col("id").alias("page_id"), "lang", "confidence").unionByName(
+        of_docs.select(F.col("id").alias("doc_id"), none.alias("page_id"), "lang", "confidence")
+    )
+
+
 QUERIES = {
+    "op2_language_evidence": op2_language_evidence,
     "op7_order_minhash": op7_order_minhash,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op8_subword_quality": op8_subword_quality,
