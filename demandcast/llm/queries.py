@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from demandcast.llm import decontaminate, language_id, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
 from demandcast.llm.common import held_out, table
+from demandcast.llm.oracle import ORACLE  # noqa: F401
 
 BYTE_BPE = path("byte_bpe_50k.json")
 
@@ -91,4 +92,4 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
+

@@ -42,7 +42,8 @@ STEMS = range(4, 9)
 
 def fold(text: str) -> str:
     """Lower case, look-alikes and substituted digits as letters, one space around each word."""
-    return " " + BREAKS.sub(" ", TAIL.sub(" ", text.lower()).translate(FOLD)).strip() + " "
+    words = BREAKS.sub(" ", TAIL.sub(" ", text.lower()).translate(FOLD)).strip()
+    return f" {words} " if words else " "
 
 
 @dataclass
