@@ -29,7 +29,7 @@ PHRASES = (
     "sign up for our newsletter",
 )
 #: Some sentence must end in the line: a mark, closing quotes or brackets, then a space or the end.
-SENTENCE_END = r"[.!?:;\x{2026}\x{3002}][\x22\x27)\]\x{BB}\x{201D}\x{2019}]*([\x20\x09-\x0D]|$)"
+SENTENCE_END = r"[.!?:;\x{2026}\x{3002}][\x22\x27)\]\x{BB}\x{201D}\x{2019}]*([\x20\x09-\x0D]|\z)"
 #: Kept lines must hold this share of the text's word characters.
 LEAST_KEPT = 50  # per cent
 
@@ -39,16 +39,27 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def holds_any(text: Column, parts) -> Column:
+    """Whether one of `parts` occurs; plain searches cost far less than counting."""
+    found = F.lit(False)
+    for part in parts:
+        found = found | text.contains(part)
+    return found
 
 
 def number_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(without(text, characters))
+    counted = F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.when(holds_any(text, characters), counted).otherwise(0)
 
 
 def word_array(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), lambda w: w != "")
+    for space in SPACES[1:]:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def word_characters(text: Column) -> Column:
+    return F.length(F.array_join(word_array(text), ""))
 
 
 def repeated_words(words: Column) -> Column:
@@ -76,34 +87,32 @@ def repeated_words(words: Column) -> Column:
     return bind(bind(words, windows), lambda s: F.aggregate(repeated(s), start, sweep, lambda t: t["covered"]))
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, suspect: Column) -> Column:
     """Whether a line is navigation, boilerplate, symbols or shouting, or ends no sentence.
 
-    Lines without a word never fail.
+    Lines without a word never fail. `suspect` says whether the text holds
+    anything that the rules but the last look for; without it they can't fail.
     """
     low = F.lower(line)
-    phrase = F.lit(False)
-    for text in PHRASES:
-        phrase = phrase | low.contains(text)
 
     def rules(chars):
-        return (chars > 0) & (
+        return (
             (number_of(line, BARS) * BAR_SHARE > chars)
             | (number_of(line, SYMBOLS) * SYMBOL_SHARE > chars)
             | (number_of(line, "!") * SHOUT_SHARE > chars)
-            | phrase
-            | ~line.rlike(SENTENCE_END)
+            | holds_any(low, PHRASES)
         )
 
-    return bind(F.length(without(line, SPACES)), rules)
+    marked = F.when(suspect, bind(word_characters(line), rules)).otherwise(False)
+    return has_word(line) & (~line.rlike(SENTENCE_END) | marked)
 
 
-def kept_lines(lines: Column) -> Column:
-    return F.filter(lines, lambda line: ~line_fails(line))
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def characters(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(0), lambda n, line: n + F.length(without(line, SPACES)))
+def suspicious(text: Column) -> Column:
+    return holds_any(text, BARS + SYMBOLS + "!") | holds_any(F.lower(text), PHRASES)
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -117,47 +126,48 @@ def quality(docs: DataFrame) -> DataFrame:
     it is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
 
     def figures(words):
-        n, repeat = F.size(words), repeated_words(words)
-        return F.struct(n.alias("n_words"), repeat.alias("n_repeat_words"))
-
-    def cleaned(all_lines):
-        with_word = F.filter(all_lines, lambda x: F.length(without(x, SPACES)) > 0)
+        chars = F.length(F.array_join(words, ""))
+        return F.struct(F.size(words).alias("n"), repeated_words(words).alias("repeat"), chars.alias("chars"))
 
-        def survey(good):
-            return F.struct(
-                (F.size(all_lines) - F.size(good)).alias("n_bad_lines"),
-                characters(good).alias("kept_chars"),
-                F.array_join(good, "\n").alias("cleaned"),
-                bind(with_word, lambda w: F.size(w) - F.size(F.array_distinct(w))).alias("n_dup_lines"),
-            )
+    def survey(judged):
+        good = F.transform(F.filter(judged, lambda x: ~x["fails"]), lambda x: x["line"])
+        bad = F.transform(F.filter(judged, lambda x: x["fails"]), lambda x: x["line"])
+        with_word = F.filter(F.transform(judged, lambda x: x["line"]), has_word)
+        return F.struct(
+            F.size(bad).alias("n_bad"),
+            word_characters(F.array_join(bad, " ")).alias("lost"),
+            F.array_join(good, "\n").alias("cleaned"),
+            bind(with_word, lambda w: F.size(w) - F.size(F.array_distinct(w))).alias("n_dup"),
+        )
 
-        return bind(kept_lines(all_lines), survey)
+    def judged_lines(suspect):
+        judge = lambda line: F.struct(line.alias("line"), line_fails(line, suspect).alias("fails"))
+        return F.transform(F.split(text, "\n"), judge)
 
     def verdict(x):
-        w, c, chars, symbols = x["words"], x["lines"], x["word_chars"], x["n_symbols"]
-        n, repeat = w["n_words"].cast("long"), w["n_repeat_words"].cast("long")
+        w, lines = x["words"], x["lines"]
+        n, repeat, chars = (w[name].cast("long") for name in ("n", "repeat", "chars"))
+        left = chars - lines["lost"].cast("long")
         failed = (n < FEWEST_WORDS) | (100 * repeat > MOST_REPEATED * n)
         return F.struct(
             n.alias("n_words"),
-            chars.cast("long").alias("word_chars"),
-            symbols.cast("long").alias("n_symbols"),
-            c["n_dup_lines"].cast("long").alias("n_dup_lines"),
+            chars.alias("word_chars"),
+            x["symbols"].cast("long").alias("n_symbols"),
+            lines["n_dup"].cast("long").alias("n_dup_lines"),
             repeat.alias("n_repeat_words"),
             failed.alias("base_failed"),
-            c["n_bad_lines"].cast("long").alias("n_bad_lines"),
-            c["kept_chars"].cast("long").alias("kept_chars"),
-            F.when(F.col("text").isNotNull(), c["cleaned"]).alias("cleaned"),
-            (~failed & (100 * c["kept_chars"].cast("long") >= LEAST_KEPT * chars)).alias("kept"),
+            lines["n_bad"].cast("long").alias("n_bad_lines"),
+            left.alias("kept_chars"),
+            F.when(F.col("text").isNotNull(), lines["cleaned"]).alias("cleaned"),
+            (~failed & (100 * left >= LEAST_KEPT * chars)).alias("kept"),
         )
 
     found = F.struct(
         bind(word_array(text), figures).alias("words"),
-        bind(lines, cleaned).alias("lines"),
-        F.length(without(text, SPACES)).alias("word_chars"),
-        number_of(text, SYMBOLS).alias("n_symbols"),
+        bind(bind(suspicious(text), judged_lines), survey).alias("lines"),
+        number_of(text, SYMBOLS).alias("symbols"),
     )
     return docs.withColumn("quality", bind(found, verdict))
 
