@@ -357,3 +357,11 @@ ORACLE = {
 }
 ORACLE["feature_blocks"] = with_tables(
     f"SELECT {KEYS}, {columns_sql([c for c in WINDOW_COLUMNS if c in FEATURES])}, series_rows, target FROM featured")
+ORACLE["expanding_shifted"] = with_tables(
+    f"SELECT {KEYS}, expanding_count, true AS same_mean, true AS same_std FROM featured")
+ORACLE["unseen_labels"] = with_tables(
+    f"""SELECT {KEYS}, CAST(coalesce(code, -1) AS INTEGER) AS product_id_enc
+        FROM daily LEFT JOIN (
+            SELECT product_id, rank() OVER (ORDER BY product_id) - 1 AS code
+            FROM (SELECT DISTINCT product_id FROM daily WHERE product_id <> 'Brand#12')
+        ) USING (product_id)""")

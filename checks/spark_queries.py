@@ -138,12 +138,38 @@ def data_profile(spark, folder):
 
 
 def feature_blocks(spark, folder):
-    """Series cut into blocks of 64 rows: the path for series too long for one task."""
+    """Series cut into blocks of 64 rows: the length of a block changes nothing."""
     names = [c for c in WINDOW_COLUMNS if c in FEATURES]
     blocks = zero_fill(series_features(joined(spark, folder), block_rows=64))
     return comparable(blocks, *KEYS, *names, "series_rows", "target")
 
 
+def unseen_labels(spark, folder):
+    """All daily rows coded with a vocabulary that was fitted without one brand."""
+    rows = daily(spark, folder)
+    known = encode.fit_vocabulary(rows.where("product_id <> 'Brand#12'"), ("product_id",))
+    return encode.label_encode(rows, known, ("product_id",)).select(*KEYS, "product_id_enc")
+
+
+def expanding_shifted(spark, folder):
+    """Expanding statistics of units a thousand million higher, in short blocks, held against plain ones."""
+    names = ("expanding_mean", "expanding_std", "expanding_count")
+    rows = joined(spark, folder)
+    high = rows.withColumn("units_sold", F.col("units_sold") + 1e9)
+    high = series_features(high, block_rows=64).select(*KEYS, *[F.col(n).alias(f"high_{n}") for n in names])
+    both = series_features(rows).select(*KEYS, *names).join(high, list(KEYS))
+    first = F.col("expanding_count") == 1
+    return both.select(
+        *KEYS,
+        "expanding_count",
+        (first | (F.abs(F.col("high_expanding_mean") - 1e9 - F.col("expanding_mean")) < 1e-5)).alias("same_mean"),
+        (
+            (F.col("expanding_count") <= 2)
+            | (F.abs(F.col("high_expanding_std") - F.col("expanding_std")) <= 1e-6 * (1 + F.col("expanding_std")))
+        ).alias("same_std"),
+    )
+
+
 def feature_matrix(spark, folder):
     matrix = split.feature_matrix(rows_for_models(spark, folder))
     return comparable(matrix, *matrix.columns)
@@ -301,6 +327,8 @@ QUERIES = {
     "volatility": window_query("volatility_7"),
     "multi_horizon_targets": window_query(*[f"target_t{h}" for h in HORIZONS], "target"),
     "feature_blocks": feature_blocks,
+    "expanding_shifted": expanding_shifted,
+    "unseen_labels": unseen_labels,
     "min_history": lambda s, d: split.min_history(with_features(joined(s, d))).select(
         *KEYS, "units_sold"
     ),

@@ -38,13 +38,21 @@ def fit_vocabulary(df: DataFrame, columns=ENCODED) -> DataFrame:
     )
 
 
+#: The code of every value outside the vocabulary, missing ones included; fitted codes start at 0.
+UNSEEN = -1
+#: Columns whose vocabulary has a fixed, small size.
+FEW_VALUES = ("season",)
+
+
 def label_encode(df: DataFrame, vocabulary: DataFrame, columns=ENCODED) -> DataFrame:
-    """Add `<column>_enc`; a value outside the vocabulary gets null."""
+    """Add `<column>_enc`; a value outside the vocabulary gets UNSEEN."""
     for c in columns:
         codes = vocabulary.where(F.col("column") == c).select(
             F.col("value").alias(f"_value_{c}"), F.col("code").alias(f"{c}_enc")
         )
+        codes = F.broadcast(codes) if c in FEW_VALUES else codes
         df = df.join(codes, F.col(c).cast("string") == F.col(f"_value_{c}"), "left").drop(
             f"_value_{c}"
         )
+        df = df.withColumn(f"{c}_enc", F.coalesce(f"{c}_enc", F.lit(UNSEEN)))
     return df

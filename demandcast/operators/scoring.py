@@ -1,6 +1,7 @@
 """Preparing rows for fitted models and explaining their forecasts."""
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from demandcast.functions.text import contribution_lines, explanation
 from demandcast.operators.history import recent_history
@@ -11,13 +12,24 @@ PROMPT_ROWS = 8
 PROMPT_COLUMNS = ("date", "qty", "sales")
 
 
+# Plain decimal numbers; the cast alone would also take type suffixes such as `1d`.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def aligned(df: DataFrame, feature: str) -> Column:
-    """One model input as a number: 0 where it is missing, null or not a number."""
+    """One model input as a number: 0 where it is missing, null or not a number.
+
+    Columns of other types than numbers, booleans and text (dates, arrays) are 0.
+    """
     if feature not in df.columns:
         return F.lit(0.0)
-    number = F.col(feature).cast("string").try_cast("double")
-    if dict(df.dtypes)[feature] != "string":
+    kind = dict(df.dtypes)[feature]
+    if kind == "string":
+        number = F.when(F.col(feature).rlike(NUMBER), F.trim(feature).try_cast("double"))
+    elif kind == "boolean" or isinstance(df.schema[feature].dataType, NumericType):
         number = F.col(feature).cast("double")
+    else:
+        return F.lit(0.0)
     return F.coalesce(F.when(~F.isnan(number), number), F.lit(0.0))
 
 

@@ -1,8 +1,8 @@
 """Row-based features of each product-city series.
 
 Offsets count observed rows, not days. Every statistic of the past leaves the
-current row out. All columns share one partitioning and one order, so Spark
-plans a single exchange and a single sort for them.
+current row out. All windows share one partitioning and one order, so Spark plans a
+single exchange and a single sort for them.
 """
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -20,6 +20,7 @@ from demandcast.schema import (
 )
 
 VOLATILITY_WINDOW = 7
+BLOCK_ROWS = 50_000
 PAST_ROWS = max(*LAGS, *ROLLING_WINDOWS, *FREQUENCY_WINDOWS)
 FUTURE_ROWS = max(HORIZONS)
 
@@ -55,28 +56,18 @@ def _bounded_columns(order) -> dict:
     return columns
 
 
-def _whole_series(df: DataFrame) -> DataFrame:
-    series = W.partitionBy(*SERIES)
-    order = series.orderBy(*SERIES_ORDER)
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumns(
-        {
-            **_bounded_columns(order),
-            "expanding_mean": F.avg("units_sold").over(before),
-            "expanding_std": F.stddev_samp("units_sold").over(before),
-            "expanding_count": F.row_number().over(order).cast("bigint"),
-            "series_rows": F.count(F.lit(1)).over(series),
-        }
-    )
-
-
 def series_positions(daily: DataFrame) -> DataFrame:
-    """Add `_row`, the 1-based row number within the series, and `series_rows`.
+    """Add `_row`, the 1-based row number within the series, `series_rows`, and
+    `_level`, the mean units of the series.
 
     Rows are counted per series and date first; only those counts (one per
     calendar day) are accumulated over a series.
     """
-    days = daily.groupBy(*SERIES, "date").agg(F.count(F.lit(1)).alias("_rows"))
+    days = daily.groupBy(*SERIES, "date").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum("units_sold").alias("_units"),
+        F.count("units_sold").alias("_known"),
+    )
     series = W.partitionBy(*SERIES)
     earlier = series.orderBy("date").rowsBetween(W.unboundedPreceding, -1)
     days = days.select(
@@ -84,6 +75,9 @@ def series_positions(daily: DataFrame) -> DataFrame:
         "date",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_earlier"),
         F.sum("_rows").over(series).alias("series_rows"),
+        F.coalesce(
+            F.try_divide(F.sum("_units").over(series), F.sum("_known").over(series)), F.lit(0.0)
+        ).alias("_level"),
     )
     same_day = W.partitionBy(*SERIES, "date").orderBy(*SERIES_ORDER[1:])
     return (
@@ -94,16 +88,20 @@ def series_positions(daily: DataFrame) -> DataFrame:
 
 
 def _in_blocks(df: DataFrame, block_rows: int) -> DataFrame:
-    """The same columns with each series cut into blocks of `block_rows` rows.
+    """All columns, with each series cut into blocks of `block_rows` rows.
 
     A block also receives copies of the neighbouring rows that its lags, rolls
     and targets can see; what the expanding columns need from earlier blocks
     comes from block totals. No task holds more than one block, its borders,
     and the totals of one series.
+
+    Sums and squares are taken of the distance from the series' mean level, so
+    that large values don't cancel. The results don't depend on that level.
     """
     if block_rows <= max(PAST_ROWS, FUTURE_ROWS):
         raise ValueError("a block must be longer than the longest look-back")
     placed = series_positions(df)
+    distance = F.col("units_sold") - F.col("_level")
     offset = (F.col("_row") - 1) % block_rows
     home = F.floor((F.col("_row") - 1) / block_rows)
     copies = F.array_compact(
@@ -116,8 +114,8 @@ def _in_blocks(df: DataFrame, block_rows: int) -> DataFrame:
     blocks = placed.withColumn("_home", home).withColumn("_block", F.explode(copies))
 
     totals = placed.groupBy(*SERIES, home.alias("_block")).agg(
-        F.sum("units_sold").alias("_sum"),
-        F.sum(F.col("units_sold") * F.col("units_sold")).alias("_squares"),
+        F.sum(distance).alias("_sum"),
+        F.sum(distance * distance).alias("_squares"),
     )
     earlier = W.partitionBy(*SERIES).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(
@@ -129,7 +127,7 @@ def _in_blocks(df: DataFrame, block_rows: int) -> DataFrame:
 
     order = W.partitionBy(*SERIES, "_block").orderBy("_row")
     before = order.rowsBetween(W.unboundedPreceding, -1)
-    own = F.when(F.col("_block") == F.col("_home"), F.col("units_sold"))
+    own = F.when(F.col("_block") == F.col("_home"), distance)
     n = F.col("_row") - 1
     total = F.col("_sum") + F.coalesce(F.sum(own).over(before), F.lit(0.0))
     squares = F.col("_squares") + F.coalesce(F.sum(own * own).over(before), F.lit(0.0))
@@ -139,25 +137,27 @@ def _in_blocks(df: DataFrame, block_rows: int) -> DataFrame:
         .withColumns(
             {
                 **_bounded_columns(order),
-                "expanding_mean": F.try_divide(total, n),
+                "expanding_mean": F.col("_level") + F.try_divide(total, n),
                 "expanding_std": F.when(n >= 2, F.sqrt(F.try_divide(spread, n - 1))),
                 "expanding_count": F.col("_row"),
             }
         )
         .where(F.col("_block") == F.col("_home"))
-        .drop("_block", "_home", "_row", "_sum", "_squares")
+        .drop("_block", "_home", "_row", "_sum", "_squares", "_level")
     )
 
 
-def series_features(daily: DataFrame, block_rows: int | None = None) -> DataFrame:
+def series_features(daily: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Lag, rolling, expanding, frequency, volatility and target columns.
 
-    Nothing is filled here. Without `block_rows` a series is one window group:
-    daily rows of one series are bounded by the calendar times its labels.
-    With it, a series of any length is spread over many tasks.
+    Nothing is filled here. Every series takes the same path: it is cut into
+    blocks of `block_rows` rows, so one of any length is spread over many tasks.
+    The length of a block changes no result. `daily` should be stored or come from
+    a scan: rows that come out of a join on the series key would already lie with
+    a whole series in one task.
     """
     flagged = daily.withColumn("sold_flag", (F.col("units_sold") > 0).cast("int"))
-    out = _whole_series(flagged) if block_rows is None else _in_blocks(flagged, block_rows)
+    out = _in_blocks(flagged, block_rows)
     out = out.withColumn("target", F.col(f"target_t{MAIN_HORIZON}"))
     week, month = F.col("roll_mean_7"), F.col("roll_mean_28")
     return out.withColumns(

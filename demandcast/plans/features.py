@@ -10,16 +10,10 @@ from demandcast.operators.aggregate import daily_sales, inventory_stock, join_in
 from demandcast.operators.clean import drop_outliers, nulls_for_nan
 from demandcast.operators.encode import fit_vocabulary, label_encode
 from demandcast.operators.impute import any_null, column_medians, fill_gaps, series_medians
-from demandcast.operators.series import series_features, zero_fill
+from demandcast.operators.series import BLOCK_ROWS, series_features, zero_fill
 from demandcast.schema import SERIES
 from demandcast.session import materialize, scratch
 
-# A series past this many daily rows is cut into blocks of BLOCK_ROWS.
-LONG_SERIES = 500_000
-BLOCK_ROWS = 50_000
-MOST_LONG = 100_000
-
-
 @dataclass
 class FeatureTable:
     """Feature rows and the label codes they use, both stored."""
@@ -54,9 +48,10 @@ def fill_prices(daily: DataFrame, store=materialize) -> DataFrame:
 def with_codes(daily: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Season and label codes, joined while rows are still narrow.
 
-    Product and city codes come in on the whole series key: the series windows
-    then need no other shuffle, and a hot product is not gathered in one task
-    however large the vocabulary is.
+    Product and city codes come in on the whole series key, so a hot product is
+    not gathered in one task however large the vocabulary is. A vocabulary stored
+    by column lets Spark size every column's codes on their own; those of the four
+    seasons are broadcast.
     """
     labelled = label_encode(
         daily.withColumn("season", season("date")),
@@ -72,35 +67,11 @@ def with_row_features(daily: DataFrame) -> DataFrame:
     return daily.withColumns({**calendar_columns(), **price_columns()})
 
 
-def with_features(daily: DataFrame, block_rows: int | None = None) -> DataFrame:
+def with_features(daily: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All columns but the label codes. Targets keep their nulls."""
     return zero_fill(series_features(with_row_features(daily), block_rows))
 
 
-def long_series(daily: DataFrame, rows: int = LONG_SERIES) -> DataFrame:
-    """Keys of the series with more than `rows` daily rows."""
-    lengths = daily.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_rows"))
-    return lengths.where(F.col("_rows") > rows).select(*SERIES)
-
-
-def with_split_features(
-    daily: DataFrame, names: DataFrame, count: int, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """`with_features`, with blocks for just the `count` series in `names`.
-
-    `daily` must be stored: rows that come out of a join on the series key
-    would already lie with a whole long series in one task. For the same
-    reason the names are broadcast, as long as they are few; past that, every
-    series is cut.
-    """
-    if count > MOST_LONG:
-        return with_features(daily, block_rows)
-    few = F.broadcast(names)
-    short = daily.join(few, list(SERIES), "left_anti")
-    cut = daily.join(few, list(SERIES), "left_semi")
-    return with_features(short).unionByName(with_features(cut, block_rows))
-
-
 def build_features(
     sales: DataFrame, inventory: DataFrame, vocabulary: DataFrame | None = None
 ) -> FeatureTable:
@@ -115,12 +86,8 @@ def build_features(
         daily = store(daily_table(drop_outliers(sales), inventory), "daily")
         if vocabulary is None:
             seasoned = daily.withColumn("season", season("date"))
-            vocabulary = materialize(fit_vocabulary(seasoned), "vocabulary")
+            vocabulary = materialize(fit_vocabulary(seasoned), "vocabulary", by="column")
         coded = with_codes(fill_prices(daily, store), vocabulary)
-        names = long_series(daily)
-        count = names.count()
-        if count == 0:
-            rows = with_features(coded)
-        else:
-            rows = with_split_features(store(coded, "coded"), names, count)
+        # Stored, so that the blocks of a series don't lie in one task from the join on its key.
+        rows = with_features(store(coded, "coded"))
         return FeatureTable(materialize(rows, "features"), vocabulary)

@@ -33,24 +33,26 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="demandcast-")
         spark.conf.set("spark.checkpoint.dir", folder)
+    elif "://" not in folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("give spark.checkpoint.dir with its scheme: executors may resolve a bare path on their own disks")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def _store(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _store(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once as parquet in the shared folder and read it back.
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write `df` once as parquet in the shared folder, in folders by `by`, and read it back.
 
     Cuts lineage in a way that outlives executors, and unlike an RDD
     checkpoint the result keeps column pruning, filter pushdown and known size
     (so later joins choose their strategy from real file sizes).
     """
-    return _store(df, f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+    return _store(df, f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}", by)
 
 
 @contextmanager

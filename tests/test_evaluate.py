@@ -95,3 +95,30 @@ def test_prompt_and_contributions(spark, sales):
     only_dates = explain_prompt(forecast, raw, "f", {"a": "a"}).first().prompt
     assert "(last rows):\ndate\n2024-01-03\n" in only_dates
     assert values(contributions(forecast, {"a": "a"}), "model", "value") == [("a", "1.23")]
+
+
+def test_text_that_only_looks_like_a_number_is_zero(spark):
+    df = spark.createDataFrame(
+        [("1d",), ("1f",), (" 2.5 ",), ("-1e3",), (".5",), ("",), (None,), ("x1",)], "mrp string"
+    ).withColumns({"selling_price": F.lit("2024-01-01").cast("date"), "is_weekend": F.lit(True)})
+    rows = align_features(df, ("mrp", "selling_price", "is_weekend")).collect()
+    assert [r.mrp for r in rows] == [0, 0, 2.5, -1000, 0.5, 0, 0, 0]
+    assert {(r.selling_price, r.is_weekend) for r in rows} == {(0.0, 1.0)}
+
+
+# The published names and order of the model inputs.
+GOLDEN = """
+product_id_enc city_name_enc category_enc sub_category_enc season_enc day_of_week day_of_month month quarter week_of_year
+is_weekend is_month_start is_month_end selling_price mrp price_margin price_ratio discount_percent price_volatility
+transaction_count stock_quantity expanding_mean expanding_std expanding_count trend_ratio_7_28 trend_diff_7_28 volatility_7
+lag_units_1 lag_units_2 lag_units_3 lag_units_7 lag_units_14 lag_units_21 lag_units_28 lag_units_35
+lag_price_1 lag_price_2 lag_price_3 lag_price_7 lag_price_14 lag_price_21 lag_price_28 lag_price_35
+roll_mean_3 roll_std_3 roll_max_3 roll_min_3 roll_price_mean_3 roll_mean_7 roll_std_7 roll_max_7 roll_min_7 roll_price_mean_7
+roll_mean_14 roll_std_14 roll_max_14 roll_min_14 roll_price_mean_14
+roll_mean_28 roll_std_28 roll_max_28 roll_min_28 roll_price_mean_28
+sale_frequency_7 sale_frequency_14 sale_frequency_28
+""".split()
+
+
+def test_model_inputs_are_the_published_ones():
+    assert list(FEATURES) == GOLDEN and len(GOLDEN) == 66

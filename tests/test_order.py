@@ -3,7 +3,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from demandcast.operators.encode import fit_vocabulary, label_encode
+from demandcast.operators.encode import UNSEEN, fit_vocabulary, label_encode
 from demandcast.operators.ordering import preceding_total
 from demandcast.operators.quantiles import exact_quantiles
 from demandcast.operators.split import (
@@ -65,7 +65,7 @@ def test_codes_are_ranks_of_text(spark):
     assert got == {("p", "10"): 0, ("p", "2"): 1, ("p", "B"): 2, ("p", "a"): 3, ("q", "z"): 0}
     unseen = spark.createDataFrame([("2", "z"), ("new", "z")], "p string, q string")
     assert sorted(values(label_encode(unseen, vocabulary, ("p", "q")), "p", "p_enc", "q_enc")) == [
-        ("2", 1, 0), ("new", None, 0),
+        ("2", 1, 0), ("new", UNSEEN, 0),
     ]
 
 

@@ -6,19 +6,14 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from demandcast.operators.aggregate import daily_sales
-from demandcast.operators.series import series_features, zero_fill
-from demandcast.plans.features import (
-    long_series,
-    with_features,
-    with_row_features,
-    with_split_features,
-)
+from demandcast.operators.series import BLOCK_ROWS, series_features, zero_fill
+from demandcast.plans.features import with_features, with_row_features
 from demandcast.schema import FREQUENCY_WINDOWS, HORIZONS, LAGS, ROLLING_WINDOWS
 from demandcast.session import materialize
 from tests.conftest import days, values
 
 
-def features(raw, block_rows=None):
+def features(raw, block_rows=BLOCK_ROWS):
     return with_features(daily_sales(raw), block_rows)
 
 
@@ -108,7 +103,7 @@ def expected(units, price):
     return frame
 
 
-@pytest.mark.parametrize("block_rows", [None, 40])
+@pytest.mark.parametrize("block_rows", [BLOCK_ROWS, 40])
 def test_against_pandas(sales, block_rows):
     source = np.random.default_rng(5)
     rows, want = [], {}
@@ -129,31 +124,40 @@ def test_against_pandas(sales, block_rows):
             )
 
 
-def test_only_long_series_are_cut(sales, monkeypatch):
-    """A hot series next to a short one gives the same rows as plain windows."""
+@pytest.mark.parametrize("block_rows", [BLOCK_ROWS, 64])
+def test_large_values_do_not_cancel(sales, block_rows):
+    """Small spreads at a level of a thousand million, across block borders."""
+    units = [1e9 + i % 3 for i in range(200)]
+    got = features(sales(*zip(days(200), units)), block_rows).toPandas().sort_values("date")
+    past = pd.Series(units).shift(1).expanding()
+    np.testing.assert_allclose(got["expanding_mean"], past.mean().fillna(0), rtol=1e-9)
+    np.testing.assert_allclose(got["expanding_std"], (past.apply(np.std, kwargs={"ddof": 1})).fillna(0), rtol=1e-9)
+
+
+def test_block_length_changes_nothing(sales):
+    """Rows of a long and a short series are the same for any length of a block."""
     rows = [(d, i % 7) for i, d in enumerate(days(150))]
     rows += [(d, 2, {"city_name": "y"}) for d in days(9)]
     daily = materialize(daily_sales(sales(*rows)), "test")
     plain = {(r.city_name, r.date): r for r in with_features(daily).collect()}
-    fields = next(iter(plain.values())).__fields__
-    names = long_series(daily, 100)
-    monkeypatch.setattr("demandcast.plans.features.MOST_LONG", 1)
-    for count in (1, 2):
-        cut = with_split_features(daily, names, count, block_rows=40).select(*fields)
-        got = {(r.city_name, r.date): r for r in cut.collect()}
-        assert got.keys() == plain.keys()
-        for key, row in got.items():
-            for name, a, b in zip(row.__fields__, row, plain[key]):
-                if isinstance(a, float):
-                    assert math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9), name
-                else:
-                    assert a == b, name
-
-
-def test_one_shuffle_for_all_windows(sales):
+    cut = with_features(daily, 40).select(*next(iter(plain.values())).__fields__)
+    got = {(r.city_name, r.date): r for r in cut.collect()}
+    assert got.keys() == plain.keys()
+    for key, row in got.items():
+        for name, a, b in zip(row.__fields__, row, plain[key]):
+            if isinstance(a, float):
+                assert math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9), name
+            else:
+                assert a == b, name
+
+
+def test_no_series_lies_in_one_task(sales):
+    """Rows move by series and date, then by series and block; one exchange serves all windows of a block."""
     daily = materialize(daily_sales(sales(*zip(days(40), range(40)))), "test")
     plan = zero_fill(series_features(daily))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    by_block = [line for line in moved if "_block" in line]
+    assert 1 <= len(by_block) <= 2  # the rows, and the block totals unless they are broadcast
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
