@@ -25,7 +25,7 @@ def arguments():
     for command in (forecast, score):
         command.add_argument("output")
     train.add_argument("--holdout-days", type=int, default=HOLDOUT_DAYS)
-    train.add_argument("--trials", type=int, default=0, help="parameter sets to try per model")
+    train.add_argument("--trials", type=int, default=10, help="parameter sets to try per model; 0: none")
     train.add_argument("--reference-mode", action="store_true")
     return parser.parse_args()
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from demandcast.operators.scoring import aligned
 from demandcast.schema import FEATURES, SEED
+from demandcast.session import scratch
 
 GBT_DEFAULTS = {
     "maxIter": 40,
@@ -167,11 +168,16 @@ def hyperparam_search(
     """(trial, fold, params, mae) for every drawn parameter set and fold.
 
     `rows` carry `fold`: fold k is tested on rows marked k after training on
-    the rows marked lower. Fits run side by side, each one a Spark job; store
-    `rows` first, as every fit reads them.
+    the rows marked lower. Vectors are stored once and read by every fit; fits run
+    side by side, each one a Spark job.
     """
-    vectors = assemble(rows).select("fold", "target", "features")
-    folds = [r[0] for r in rows.where("fold > 0").select("fold").distinct().collect()]
+    with scratch(rows.sparkSession) as store:
+        vectors = store(assemble(rows).select("fold", "target", "features"), "vectors")
+        return _search(vectors, family, trials, space, fixed, parallelism, seed)
+
+
+def _search(vectors, family, trials, space, fixed, parallelism, seed) -> DataFrame:
+    folds = [r[0] for r in vectors.where("fold > 0").select("fold").distinct().collect()]
     default = GBT_SPACE if family == "gbt" else RF_SPACE
     drawn = draw(space or default, trials, seed)
 
@@ -190,7 +196,7 @@ def hyperparam_search(
     jobs = [(trial, fold) for trial in range(trials) for fold in sorted(folds)]
     with ThreadPoolExecutor(parallelism) as pool:
         results = list(pool.map(run, jobs))
-    return rows.sparkSession.createDataFrame(
+    return vectors.sparkSession.createDataFrame(
         results, "trial int, fold int, params string, mae double"
     )
 

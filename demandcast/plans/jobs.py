@@ -1,7 +1,9 @@
 """The three user-facing jobs: train, forecast every pair, score a table."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from demandcast.operators.aggregate import table_profile, target_stats
 from demandcast.operators.models import drawn_params, hyperparam_search
 from demandcast.operators.split import folds_by_date, folds_by_position, model_rows
 from demandcast.plans.features import FeatureTable, build_features
@@ -21,7 +23,20 @@ def search_params(
     spaces: dict | None = None,
     fixed: dict | None = None,
 ) -> dict:
-    """Best drawn parameters of both base models, by family.
+    """Best drawn parameters of both base models, by family."""
+    return search(rows, trials, folds, holdout_days, reference_mode, spaces, fixed)[0]
+
+
+def search(
+    rows: DataFrame,
+    trials: int,
+    folds: int,
+    holdout_days: int = HOLDOUT_DAYS,
+    reference_mode: bool = False,
+    spaces: dict | None = None,
+    fixed: dict | None = None,
+) -> tuple[dict, DataFrame]:
+    """Best drawn parameters by family, and (family, trial, fold, params, mae) of all fits.
 
     Folds are cut by date within the rows before the holdout. In reference
     mode they are cut by position over all rows, in product, city, date order.
@@ -31,14 +46,16 @@ def search_params(
     else:
         marked = assign_roles(rows, holdout_days)
         folded = folds_by_date(marked.where("role <> 'test'").drop("role"), folds)
-    best = {}
+    best, tried = {}, None
     with scratch(rows.sparkSession) as store:
         folded = store(folded, "folds")
         for family in ("gbt", "rf"):
             space, extra = (spaces or {}).get(family), (fixed or {}).get(family)
             results = hyperparam_search(folded, family, trials, space, extra)
             best[family] = drawn_params(results, family, trials, space, extra)
-    return best
+            results = results.select(F.lit(family).alias("family"), "*")
+            tried = results if tried is None else tried.unionByName(results)
+    return best, tried
 
 
 def run_training(
@@ -47,21 +64,28 @@ def run_training(
     folder: str,
     holdout_days: int = HOLDOUT_DAYS,
     params: dict | None = None,
-    trials: int = 0,
-    folds: int = 3,
+    trials: int = 10,
+    folds: int = 5,
     reference_mode: bool = False,
 ) -> tuple[FeatureTable, Training]:
-    """Features, optional search, training, and all results written to `folder`."""
+    """Features, search, training, and all results written to `folder`.
+
+    `trials` parameter sets are drawn per base model and tried on `folds` folds;
+    0 takes `params` and the defaults as they are.
+    """
     table = build_features(sales, inventory)
     rows = model_rows(table.rows)
     params = params or {}
     if trials:
-        found = search_params(rows, trials, folds, holdout_days, reference_mode, fixed=params)
-        params = found
+        params, tried = search(rows, trials, folds, holdout_days, reference_mode, fixed=params)
+        artifacts.write_csv(tried, f"{folder}/search_results")
     training = train_forecaster(
         rows, holdout_days, params.get("gbt"), params.get("rf"), reference_mode
     )
     artifacts.write_reports(training, table.vocabulary, folder)
+    profile = table_profile({"sales": sales, "inventory": inventory, "features": table.rows})
+    artifacts.write_csv(profile, f"{folder}/data_profile")
+    artifacts.write_csv(target_stats(rows), f"{folder}/target_stats")
     return table, training
 
 

@@ -10,6 +10,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from demandcast.plans.train import Forecaster, Training
+from demandcast.operators.evaluate import daily_error, prediction_pairs, residual_histogram
 from demandcast.operators.models import feature_importance
 
 KINDS = {"gbt": GBTRegressionModel, "rf": RandomForestRegressionModel, "meta": LinearRegressionModel}
@@ -92,3 +93,11 @@ def write_reports(training: Training, vocabulary: DataFrame, folder: str) -> Non
     write_csv(importance, f"{folder}/feature_importance")
     write_csv(training.predictions(), f"{folder}/test_predictions_summary")
     training.metrics().write.mode("overwrite").json(f"{folder}/metrics_summary")
+    write_diagnostics(training.predictions(), folder)
+
+
+def write_diagnostics(predictions: DataFrame, folder: str, prediction: str = "pred_meta") -> None:
+    """The tables behind the plots of a run: error by day, residuals in bins, true against predicted."""
+    write_csv(daily_error(predictions, "true", prediction), f"{folder}/daily_error")
+    write_csv(residual_histogram(predictions, "true", prediction), f"{folder}/residual_histogram")
+    write_csv(prediction_pairs(predictions, "true", prediction), f"{folder}/prediction_pairs")

@@ -69,6 +69,22 @@ def test_training(training):
     assert training.meta_name == min(scores, key=lambda r: (r.mae, r.ordinal)).name
 
 
+def test_stack_never_sees_the_rows_it_is_chosen_on(table):
+    """Stack rows lie before all rows of the choice; served models are refits on everything before the test."""
+    rows = model_rows(table.rows)
+    got = train_forecaster(rows, 14, SMALL_GBT, SMALL_RF, stack_folds=2)
+    last = got.stacked.agg(F.max("date")).first()[0]
+    first = got.judged.agg(F.min("date")).first()[0]
+    assert last < first and got.judged.count() == 14 * 4
+    marked = assign_roles(rows, 14)
+    known = models.assemble(marked.where("role <> 'test'")).select("target", "features")
+    again = models.fit_rf(known, SMALL_RF)
+    sample = models.assemble(marked.where("role = 'test'").limit(20)).select("features")
+    ours, theirs = got.forecaster.rf.transform(sample), again.transform(sample)
+    assert [r.pred_rf for r in ours.collect()] == pytest.approx([r.pred_rf for r in theirs.collect()])
+    assert got.scored.select("role").distinct().collect()[0][0] == "test"
+
+
 def test_scoring_and_storage(spark, table, training, tmp_path):
     folder = str(tmp_path / "run")
     artifacts.write_reports(training, table.vocabulary, folder)
@@ -165,8 +181,15 @@ def test_jobs_from_csv(spark, table, tmp_path):
     stock = read_inventory(spark, str(tmp_path / "inventory.csv"))
     folder = str(tmp_path / "run")
     small = {"gbt": {"maxIter": 2, "maxDepth": 2}, "rf": {"numTrees": 2, "maxDepth": 3}}
-    again, training = run_training(raw, stock, folder, params=small)
+    again, training = run_training(raw, stock, folder, params=small, trials=1, folds=2)
+    assert spark.read.csv(f"{folder}/search_results", header=True).count() == 4
     assert again.rows.count() == table.rows.count()
+    reports = {
+        name: spark.read.csv(f"{folder}/{name}", header=True).count()
+        for name in ("daily_error", "residual_histogram", "prediction_pairs", "data_profile", "target_stats")
+    }
+    assert reports["daily_error"] == 14 and reports["prediction_pairs"] == 14 * 4
+    assert reports["data_profile"] == 3 and reports["target_stats"] == 1 and reports["residual_histogram"] > 1
     forecasts = run_forecast(spark, raw, stock, folder)
     want = forecast_latest(table.rows, training.forecaster)
     both = forecasts.withColumnRenamed("predicted_units_next_7d", "a").join(
