@@ -24,6 +24,7 @@ def arguments():
         command.add_argument("models", help="folder of models and reports")
     for command in (forecast, score):
         command.add_argument("output")
+    forecast.add_argument("--pair", nargs=2, metavar=("CITY", "PRODUCT"), help="forecast just this pair")
     train.add_argument("--holdout-days", type=int, default=HOLDOUT_DAYS)
     train.add_argument("--trials", type=int, default=10, help="parameter sets to try per model; 0: none")
     train.add_argument("--reference-mode", action="store_true")
@@ -50,7 +51,7 @@ def main():
         )
         training.metrics().show(truncate=False)
     else:
-        forecasts = run_forecast(spark, sales, inventory, args.models)
+        forecasts = run_forecast(spark, sales, inventory, args.models, args.pair and tuple(args.pair))
         print(write_forecasts(forecasts, args.output, "forecast"))
 
 

@@ -73,13 +73,17 @@ def with_features(daily: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 def build_features(
-    sales: DataFrame, inventory: DataFrame, vocabulary: DataFrame | None = None
+    sales: DataFrame,
+    inventory: DataFrame,
+    vocabulary: DataFrame | None = None,
+    pair: tuple[str, str] | None = None,
 ) -> FeatureTable:
     """Run the feature job and store its results.
 
     The daily table is stored for the length of the job: the raw input is
     scanned once for it, and once more for the outlier limit. A given `vocabulary` (when scoring with a
-    trained model) is used as it is.
+    trained model) is used as it is. With a (city, product) `pair` only its rows get
+    features; the outlier limit, medians and codes still come from all rows.
     """
     sales, inventory = nulls_for_nan(sales), nulls_for_nan(inventory)
     with scratch(sales.sparkSession) as store:
@@ -88,6 +92,8 @@ def build_features(
             seasoned = daily.withColumn("season", season("date"))
             vocabulary = materialize(fit_vocabulary(seasoned), "vocabulary", by="column")
         coded = with_codes(fill_prices(daily, store), vocabulary)
+        if pair:
+            coded = coded.where((F.col("city_name") == pair[0]) & (F.col("product_id") == pair[1]))
         # Stored, so that the blocks of a series don't lie in one task from the join on its key.
         rows = with_features(store(coded, "coded"))
         return FeatureTable(materialize(rows, "features"), vocabulary)

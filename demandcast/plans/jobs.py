@@ -89,12 +89,23 @@ def run_training(
     return table, training
 
 
+class UnknownPair(ValueError):
+    """No rows of the asked city and product."""
+
+
 def run_forecast(
-    spark: SparkSession, sales: DataFrame, inventory: DataFrame, folder: str
+    spark: SparkSession,
+    sales: DataFrame,
+    inventory: DataFrame,
+    folder: str,
+    pair: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Forecast of every pair from raw tables, with the models and codes in `folder`."""
+    """Forecast of every pair, or of one (city, product) `pair`, from raw tables,
+    with the models and codes in `folder`."""
     vocabulary = artifacts.load_vocabulary(spark, f"{folder}/vocabulary")
-    table = build_features(sales, inventory, vocabulary)
+    table = build_features(sales, inventory, vocabulary, pair)
+    if pair and table.rows.isEmpty():
+        raise UnknownPair(f"no sales of product {pair[1]!r} in {pair[0]!r}")
     return forecast_latest(table.rows, artifacts.load_forecaster(spark, folder))
 
 

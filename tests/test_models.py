@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from demandcast.operators import models
 from demandcast.operators.split import folds_by_date, model_rows
 from demandcast.plans.features import build_features
-from demandcast.plans.jobs import run_forecast, run_scoring, run_training, search_params
+from demandcast.plans.jobs import UnknownPair, run_forecast, run_scoring, run_training, search_params
 from demandcast.plans.score import batch_score, forecast_latest
 from demandcast.plans.train import Forecaster, NoForecast, assign_roles, train_forecaster
 from demandcast.schema import FEATURES, INVENTORY, METRICS
@@ -196,6 +196,12 @@ def test_jobs_from_csv(spark, table, tmp_path):
         want.withColumnRenamed("predicted_units_next_7d", "b"), ["city", "product"]
     )
     assert both.where("abs(a - b) < 1e-9").count() == 4
+    first = forecasts.orderBy("city", "product").first()
+    alone = run_forecast(spark, raw, stock, folder, (first["city"], first["product"])).collect()
+    assert len(alone) == 1
+    assert alone[0]["predicted_units_next_7d"] == pytest.approx(first["predicted_units_next_7d"], rel=1e-9)
+    with pytest.raises(UnknownPair):
+        run_forecast(spark, raw, stock, folder, ("nowhere", "p1"))
     assert run_scoring(spark, raw, folder).where("pred_final is not null").count() == raw.count()
 
 
