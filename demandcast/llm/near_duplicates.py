@@ -1,5 +1,6 @@
 """Classes of near-duplicate documents from order MinHash candidates and verified links."""
 
+from collections import Counter
 from itertools import groupby
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from demandcast.llm.common import arrow
 from demandcast.llm.components import components
 from demandcast.llm.order_minhash import (
+    aligned,
     digest,
+    least_common,
     occurrence_labelled,
     shingle_hashes,
     shingles_of,
@@ -23,9 +26,9 @@ from demandcast.session import materialize
 SKETCHED = "doc_id bigint, node binary, keys array<bigint>"
 VALUES = "node binary, size int, least array<bigint>"
 LINK = "a binary, b binary"
-#: Labelled shingles that the comparison inside a bucket keeps of a text: all of
-#: most texts, else the least. Pairs at 0.8 share 0.8 of them on average; five
-#: standard deviations less are asked for.
+#: Shingles that the comparison inside a bucket has of a text: all in their order of
+#: most texts, else the least labelled ones. Of those, pairs at 0.8 share 0.8 on
+#: average; five standard deviations less are asked for.
 KEPT, ENOUGH = 512, 0.71
 #: Rows of one block of a bucket's comparison.
 BLOCK = 1000
@@ -75,13 +78,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
 
     def align(batches):
-        last, other = None, []
+        last, other, bag = None, [], Counter()
         for batch in batches:
             keep = []
             for one, b, two in zip(*(batch.column(n).to_pylist() for n in ("one", "b", "two")), strict=True):
                 if b != last:
                     last, other = b, shingles_of(two)
-                keep.append(similar(shingles_of(one), other))
+                    bag = Counter(other)
+                mine = shingles_of(one)
+                keep.append(similar(mine, other, (Counter(mine), bag)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.select("a", "b", "one", "two").mapInArrow(align, LINK)
@@ -90,16 +95,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _values(texts: DataFrame) -> DataFrame:
     def least(batches):
         for batch in batches:
-            found = [occurrence_labelled(shingle_hashes(word_hashes(t))) for t in batch.column("text").to_pylist()]
-            kept = [np.sort(x)[:KEPT].view(np.int64) for x in found]
+            found = [shingle_hashes(word_hashes(t)) for t in batch.column("text").to_pylist()]
+            kept = [(x if len(x) <= KEPT else np.sort(occurrence_labelled(x))[:KEPT]).view(np.int64) for x in found]
             yield arrow(VALUES, batch.column("node"), [len(x) for x in found], kept)
 
     return texts.select("node", "text").mapInArrow(least, VALUES)
 
 
 def close(rest, members):
-    """Index pairs of two lists of (class, size, least) that may reach the similarity, classes apart."""
-    sets = [np.asarray(x[2]) for x in (*rest, *members)]
+    """Index pairs of two lists of (class, size, least) that may reach the similarity, classes apart;
+    those with most in common come first."""
+    sets = [np.asarray(x[2], dtype=np.int64).view(np.uint64) for x in (*rest, *members)]
+    sets = [occurrence_labelled(s) if x[1] <= KEPT else s for s, x in zip(sets, (*rest, *members), strict=True)]
     if len(rest) * len(members) <= 256:
         rows, columns = [set(s.tolist()) for s in sets[: len(rest)]], [set(s.tolist()) for s in sets[len(rest) :]]
         common = np.array([[len(x & y) for y in columns] for x in rows], dtype=np.float32)
@@ -119,15 +126,44 @@ def close(rest, members):
     m = np.array([x[1] for x in members], dtype=np.float32)[None, :]
     need = np.where(np.maximum(n, m) <= KEPT, 4 * (n + m) / 9, ENOUGH * KEPT)
     apart = np.array([[x[0] != y[0] for y in members] for x in rest])
-    return np.argwhere((common >= need - 1e-3) & (np.minimum(n, m) >= 0.8 * np.maximum(n, m)) & apart)
+    found = np.argwhere((common >= need - 1e-3) & (np.minimum(n, m) >= 0.8 * np.maximum(n, m)) & apart)
+    return found[np.argsort(-common[found[:, 0], found[:, 1]], kind="stable")]
 
 
-def rest_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): pairs of one bucket in different classes that may still be similar.
+def joining(pairs, first, second):
+    """The pairs, most alike first, that join classes which no pair before them has joined.
+
+    `first` and `second` are lists of (class, size, shingles). Where both shingles
+    are complete a pair must also hold in the alignment, else the next one is tried.
+    Other pairs are all given out and join nothing here: they are aligned later.
+    """
+    head: dict = {}
+
+    def find(x):
+        while head.get(x, x) != x:
+            x = head[x]
+        return x
+
+    for i, j in pairs:
+        (one, n, x), (two, m, y) = first[i], second[j]
+        a, b = find(one), find(two)
+        if a == b:
+            continue
+        if max(n, m) > KEPT:
+            yield i, j
+        elif aligned(x, y) >= least_common(n + m):
+            head[a] = b
+            yield i, j
+
+
+def rest_pairs(members: DataFrame, classes: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, b): pairs of one bucket in different classes whose links would join what may belong together.
 
     In every bucket, the texts outside of its largest class are compared with all
-    of its texts, in blocks, by their labelled shingles. So no link between two
-    texts that share a bucket is left out, and only pairs that pass are given out.
+    of its texts, in blocks, by their labelled shingles. Of the pairs that are or
+    may be similar a block gives out those that join its classes, so their number
+    follows the texts, not the pairs (but for pairs of texts past KEPT shingles in
+    different classes).
     """
     known = members.select("key", "node").join(classes, "node", "left")
     known = known.withColumn("class", F.coalesce("component", "node")).select("key", "node", "class")
@@ -137,10 +173,7 @@ def rest_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
         F.count("*").alias("classes"), F.sum("count").alias("n"), F.max(F.struct("count", "class")).alias("top")
     )
     mixed = mixed.where("classes > 1").select("key", "n", (F.col("n") - F.col("top.count")).alias("r"), F.col("top.class").alias("main"))
-    mixed = materialize(mixed, "mixed")
-    open_ = materialize(known.join(mixed, "key"), "open")
-    values = texts.join(open_.select("node").distinct(), "node", "left_semi")
-    rows = open_.join(materialize(_values(values), "values"), "node")
+    rows = known.join(materialize(mixed, "mixed"), "key").join(values, "node")
     across = F.ceil(F.col("n") / BLOCK).cast("int")
     down = F.ceil(F.col("r") / BLOCK).cast("int")
 
@@ -149,7 +182,8 @@ def rest_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
         blocks = F.explode(F.sequence(F.lit(0), other - 1))
         part = part.withColumn("own", own_block).withColumn("other", blocks).withColumn("rest", F.lit(rest))
         first, second = ("own", "other") if rest else ("other", "own")
-        return part.select("key", F.col(first).alias("x"), F.col(second).alias("y"), "rest", "node", "class", "size", "least")
+        names = ("rest", "node", "class", "size", "least")
+        return part.select("key", F.col(first).alias("x"), F.col(second).alias("y"), *names)
 
     both = dealt(rows.where("class <> main"), down, across, True).unionByName(dealt(rows, across, down, False))
     both = both.repartition(F.col("key"), F.col("x"), F.col("y")).sortWithinPartitions("key", "x", "y")
@@ -167,7 +201,8 @@ def rest_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
                 sides[rest].append((own, size, least))
                 names[rest].append(name)
             if sides[0] and sides[1]:
-                for i, j in close(sides[1], sides[0]).tolist():
+                pairs = close(sides[1], sides[0]).tolist()
+                for i, j in joining(pairs, sides[1], sides[0]):
                     out.append((min(names[1][i], names[0][j]), max(names[1][i], names[0][j])))
             if len(out) > 10_000:
                 yield arrow(LINK, *zip(*sorted(set(out)), strict=True))
@@ -186,9 +221,14 @@ def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     texts = texts.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi")
     texts = materialize(texts, "texts")
     links = materialize(verified(star_pairs(members), texts), "links")
-    more = rest_pairs(members, materialize(components(links), "classes"), texts)
-    links = links.unionByName(materialize(verified(more, texts), "links"))
-    return materialize(components(links), "classes")
+    found = materialize(components(links), "classes")
+    values = materialize(_values(texts), "values")
+    more = materialize(verified(rest_pairs(members, found, values), texts), "links")
+    if more.isEmpty():
+        return found
+    # What is linked already enters as stars.
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return materialize(components(stars.unionByName(more)), "classes")
 
 
 def classes(docs: DataFrame) -> DataFrame:

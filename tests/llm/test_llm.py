@@ -307,6 +307,8 @@ def test_aligned_equals_longest_common_subsequence():
 def test_near_duplicates_equal_brute_force(spark):
     base = prose(11, 150)
     texts = [*ODD, base, base, *(edited(base, k, 1 + k % 6) for k in range(40)), *(prose(k, 60) for k in range(20, 40))]
+    words = base.split()
+    texts += [" ".join(words[75:] + words[:75]), " ".join(words[90:] + words[:90])]  # same shingles in another order
     texts += [prose(50, 40) + " " + base, "one two three", "one two three", "one two four", base.upper()]
     docs = documents(spark, texts).withColumn("node", F.lit("clash"))
     got = dict(rows(near_duplicates.near_duplicates(docs), "doc_id", "class_id"))
@@ -326,13 +328,26 @@ def test_blocks_compare_as_sets_do():
             own = np.concatenate([base[draw.permutation(200)[: 200 - 2 * (k % 15)]], draw.integers(0, 1 << 60, 2 * (k % 15))])
             rows_.append((k % 3, len(own), np.sort(own)))
         sides.append(rows_)
-    large = near_duplicates.close(*sides).tolist()
+    large = sorted(near_duplicates.close(*sides).tolist())
     small = []
     for i in range(40):
         small += [[i, j] for _, j in near_duplicates.close([sides[0][i]], sides[1][:6]).tolist()]
     assert large and [p for p in large if p[1] < 6] == sorted(small)
 
 
+def test_joining_pairs_are_a_forest():
+    def side(names, shingles):
+        return [(name, len(x), x) for name, x in zip(names, shingles, strict=True)]
+
+    ten, turned, other = list(range(10)), list(range(5, 10)) + list(range(5)), list(range(20, 30))
+    first, second = side("abc", [ten, ten, turned]), side("abd", [ten, ten, ten[:9]])
+    pairs = [(0, 1), (1, 0), (2, 1), (2, 0), (0, 2)]
+    assert list(near_duplicates.joining(pairs, first, second)) == [(0, 1), (0, 2)]
+    assert list(near_duplicates.joining([(0, 0)], side("a", [ten]), side("b", [other]))) == []
+    long = [("x", 600, ten)], [("y", 600, other)]
+    assert list(near_duplicates.joining([(0, 0)], *long)) == [(0, 0)]
+
+
 def plain_occurs(item, text, edits):
     row = [0] * (len(text) + 1)
     for i, x in enumerate(item):
