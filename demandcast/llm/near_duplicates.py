@@ -140,9 +140,12 @@ def joining(pairs, first, second):
     head: dict = {}
 
     def find(x):
-        while head.get(x, x) != x:
-            x = head[x]
-        return x
+        top = x
+        while head.get(top, top) != top:
+            top = head[top]
+        while x != top:
+            head[x], x = top, head[x]
+        return top
 
     for i, j in pairs:
         (one, n, x), (two, m, y) = first[i], second[j]
