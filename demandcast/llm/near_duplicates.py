@@ -30,6 +30,8 @@ LINK = "a binary, b binary"
 #: most texts, else the least labelled ones. Of those, pairs at 0.8 share 0.8 on
 #: average; five standard deviations less are asked for.
 KEPT, ENOUGH = 512, 0.71
+#: Rows of a block with one value up to which their pairs are listed.
+RARE = 16
 #: Rows of one block of a bucket's comparison.
 BLOCK = 1000
 
@@ -112,14 +114,13 @@ def close(rest, members):
         common = np.array([[len(x & y) for y in columns] for x in rows], dtype=np.float32)
     else:
         _, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        place = np.cumsum(count > 1) - 1
-        common = np.zeros((len(rest), len(members)), dtype=np.float32)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        used = count[index] > 1
-        owner, column = owner[used], place[index[used]]
-        for low in range(0, int(column.max(initial=-1)) + 1, 4096):
-            part = (column >= low) & (column < low + 4096)
-            grid = np.zeros((len(sets), 4096), dtype=np.float32)
+        common = _rare(owner, index, (count[index] > 1) & (count[index] <= RARE), len(rest), len(members))
+        often = count[index] > RARE
+        owner, column = owner[often], (np.cumsum(count > RARE) - 1)[index[often]]
+        for low in range(0, int(column.max(initial=-1)) + 1, 1024):
+            part = (column >= low) & (column < low + 1024)
+            grid = np.zeros((len(sets), 1024), dtype=np.float32)
             grid[owner[part], column[part] - low] = 1
             common += grid[: len(rest)] @ grid[len(rest) :].T
     n = np.array([x[1] for x in rest], dtype=np.float32)[:, None]
@@ -130,6 +131,21 @@ def close(rest, members):
     return found[np.argsort(-common[found[:, 0], found[:, 1]], kind="stable")]
 
 
+def _rare(owner, value, used, rest: int, members: int) -> np.ndarray:
+    """How many of the used values each of `rest` rows shares with each of `members` rows.
+
+    For values that few rows have: their pairs of rows are listed, not multiplied out.
+    """
+    owner, value = owner[used], value[used]
+    first, order = owner < rest, np.argsort(value[owner >= rest], kind="stable")
+    other, names = value[owner >= rest][order], owner[owner >= rest][order] - rest
+    low = np.searchsorted(other, value[first], "left")
+    n = np.searchsorted(other, value[first], "right") - low
+    at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    cell = np.repeat(owner[first], n) * members + names[at]
+    return np.bincount(cell, minlength=rest * members).reshape(rest, members).astype(np.float32)
+
+
 def joining(pairs, first, second):
     """The pairs, most alike first, that join classes which no pair before them has joined.
 
