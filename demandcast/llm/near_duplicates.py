@@ -29,7 +29,7 @@ LINK = "a binary, b binary"
 #: Shingles that the comparison inside a bucket has of a text: all in their order of
 #: most texts, else the least labelled ones. Of those, pairs at 0.8 share 0.8 on
 #: average; five standard deviations less are asked for.
-KEPT, ENOUGH = 512, 0.71
+KEPT, ENOUGH = 2048, 0.755
 #: Rows of a block with one value up to which their pairs are listed.
 RARE = 16
 #: Rows of one block of a bucket's comparison.

@@ -344,7 +344,8 @@ def test_joining_pairs_are_a_forest():
     pairs = [(0, 1), (1, 0), (2, 1), (2, 0), (0, 2)]
     assert list(near_duplicates.joining(pairs, first, second)) == [(0, 1), (0, 2)]
     assert list(near_duplicates.joining([(0, 0)], side("a", [ten]), side("b", [other]))) == []
-    long = [("x", 600, ten)], [("y", 600, other)]
+    many = near_duplicates.KEPT + 1
+    long = [("x", many, ten)], [("y", many, other)]
     assert list(near_duplicates.joining([(0, 0)], *long)) == [(0, 0)]
 
 
