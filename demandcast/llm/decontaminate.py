@@ -148,21 +148,33 @@ def align(item: np.ndarray, text: np.ndarray, low: int, width: int, most: int) -
     return int(row[best]), int(at[best] + len(item))
 
 
-def occurrences(items: Items, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, edits) of verified occurrences; overlapping ones of an item count once, the best."""
+def occurrences(items: Items, codes: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(item, start, end, edits) of verified occurrences; overlapping ones of an item count once, the best.
+
+    Text k of `codes` begins at start[k] and one place of no text stands before the
+    next. Every text that a band reaches is aligned on its own, so an occurrence lies
+    in one text and doesn't depend on the others.
+    """
     found = []
     for item, low in bands(items, codes):
         pattern, edits = items.codes[item], int(items.edits[item])
-        cost, end = align(pattern, codes, low - edits, int(items.width[item]) + 3 * edits, edits)
-        if cost > edits:
-            continue
-        back, size = align(pattern[::-1], codes[:end][::-1], -edits, 2 * edits + 1, cost)
-        start = end - size if back <= cost else end - len(pattern)
-        found.append((item, cost, max(start, 0), end))
+        low, width = low - edits, int(items.width[item]) + 3 * edits
+        first = max(int(np.searchsorted(start, low, "right")) - 1, 0)
+        last = int(np.searchsorted(start, low + width + len(pattern), "left"))
+        for at, after in zip(start[first:last].tolist(), start[first + 1 : last + 1].tolist(), strict=False):
+            text = codes[at : after - 1]
+            if len(text) < len(pattern) - edits:
+                continue
+            cost, end = align(pattern, text, low - at, width, edits)
+            if cost > edits:
+                continue
+            back, size = align(pattern[::-1], text[:end][::-1], -edits, 2 * edits + 1, cost)
+            begin = end - size if back <= cost else end - len(pattern)
+            found.append((item, cost, at + max(begin, 0), at + end))
     kept: list[tuple[int, int, int, int]] = []
-    for item, cost, start, end in sorted(found):
-        if not any(i == item and a < end and start < b for i, a, b, _ in kept):
-            kept.append((item, start, end, cost))
+    for item, cost, begin, end in sorted(found):
+        if not any(i == item and a < end and begin < b for i, a, b, _ in kept):
+            kept.append((item, begin, end, cost))
     return kept
 
 
@@ -195,11 +207,11 @@ def search(texts: list[str], items: Items):
         for (codes, _), at in zip(parts, start, strict=False):
             joined[at : at + len(codes)] = codes
         out: list[list] = [[] for _ in parts]
-        for item, first, end, cost in occurrences(items, joined):
-            doc = int(np.searchsorted(start, first, "right")) - 1
-            codes, place = parts[doc]
-            if end - start[doc] > len(codes) or end <= first:
+        for item, first, end, cost in occurrences(items, joined, start):
+            if end <= first:
                 continue
+            doc = int(np.searchsorted(start, first, "right")) - 1
+            place = parts[doc][1]
             span = place[first - start[doc]], place[end - 1 - start[doc]] + 1
             out[doc].append((items.ids[item], int(span[0]), int(span[1]), cost))
         yield from out

@@ -387,6 +387,27 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("missing", [3, 5, 8, 12])
+def test_leaks_at_both_ends_of_a_document(missing):
+    items = [prose(400 + k, 40)[:150] for k in range(8)]
+    block = decontaminate.Items(list(range(8)), [decontaminate.normal(x)[0] for x in items], 0.1)
+    whole = [prose(500 + k, 30) for k in range(8)]
+    tails = [f"{t} {x[:-missing]}" for t, x in zip(whole, items, strict=True)]
+    heads = [f"{x[missing:]} {t}" for t, x in zip(whole, items, strict=True)]
+    both = [x[missing // 2 : -(missing - missing // 2)] for x in items]
+    cut = [*tails, *heads, *both]
+    alone = [next(decontaminate.search([t], block)) for t in cut]
+    assert [{x[0] for x in spans} for spans in alone] == [{k} for k in range(8)] * 3
+    for order in (range(24), range(23, -1, -1), sorted(range(24), key=lambda k: k % 8)):
+        for between in ([], ["", ""], ["q" * 40], [prose(600, 25)]):
+            texts, at = [], []
+            for k in order:
+                at.append(len(texts))
+                texts += [cut[k], *between]
+            got = list(decontaminate.search(texts, block))
+            assert [got[i] for i in at] == [alone[k] for k in order]
+
+
 def labelled(spark, good, bad, label):
     texts = [good(k) if k % 4 else bad(k) for k in range(240)]
     docs = documents(spark, [*texts, None, ""])
