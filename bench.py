@@ -13,12 +13,10 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from checks.spark_queries import QUERIES, SMALL_GBT, joined, naive  # noqa: E402
-from checks.spark_queries import feature_table, rows_for_models  # noqa: E402
-from demandcast.operators import evaluate, models  # noqa: E402
+from checks.spark_queries import QUERIES, joined, naive  # noqa: E402
+from checks.spark_queries import feature_table, training  # noqa: E402
+from demandcast.operators import evaluate  # noqa: E402
 from demandcast.plans.features import with_features  # noqa: E402
-from demandcast.plans.score import batch_score  # noqa: E402
-from demandcast.plans.train import Forecaster  # noqa: E402
 from demandcast.session import build_session  # noqa: E402
 
 
@@ -40,12 +38,6 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     run(QUERIES["scan_inventory"](spark, folder))
 
-    fitted = {}
-
-    def fit():
-        vectors = models.assemble(rows_for_models(spark, folder)).select("target", "features")
-        fitted["gbt"] = models.fit_gbt(vectors, SMALL_GBT)
-
     jobs = {
         "scan_sales": lambda: run(QUERIES["scan_sales"](spark, folder)),
         "daily_sales": lambda: run(QUERIES["daily_sales"](spark, folder)),
@@ -63,10 +55,8 @@ def main():
             )
         ),
         "explain_prompt": lambda: run(QUERIES["explain_prompt"](spark, folder)),
-        "fit_gbt": fit,
-        "batch_score": lambda: run(
-            batch_score(feature_table(spark, folder).rows, Forecaster(gbt=fitted["gbt"]))
-        ),
+        "train_forecaster": lambda: training(spark, folder),
+        "batch_score": lambda: run(QUERIES["batch_score"](spark, folder)),
     }
     times = {}
     for name, job in jobs.items():

@@ -17,6 +17,7 @@ from demandcast.operators import (
 )
 from demandcast.operators.series import series_features, zero_fill
 from demandcast.plans.features import build_features, with_features
+from demandcast.plans.jobs import FOLDS, TRIALS, search
 from demandcast.plans.score import batch_score, forecast_latest
 from demandcast.plans.train import train_forecaster
 from demandcast.schema import (
@@ -251,8 +252,6 @@ def explain_prompt(spark, folder):
     )
 
 
-SMALL_GBT = {"maxIter": 10, "maxDepth": 4}
-SMALL_RF = {"numTrees": 10, "maxDepth": 6}
 _trained = {}
 
 
@@ -261,7 +260,7 @@ def training(spark, folder):
     key = (spark.sparkContext.applicationId, folder)
     if key not in _trained:
         rows = rows_for_models(spark, folder)
-        _trained[key] = train_forecaster(rows, HOLDOUT, SMALL_GBT, SMALL_RF)
+        _trained[key] = train_forecaster(rows, HOLDOUT)
     return _trained[key]
 
 
@@ -273,15 +272,9 @@ def single_model(name):
 
 
 def hyperparam_search(spark, folder):
-    """Two drawn parameter sets per family over three date folds."""
-    rows = materialize(split.folds_by_date(rows_for_models(spark, folder), 3), "folds")
-    gbt = models.hyperparam_search(
-        rows, "gbt", 2, {**models.GBT_SPACE, "maxDepth": ("int", 3, 5)}, {"maxIter": 5}
-    )
-    rf = models.hyperparam_search(rows, "rf", 2, {"maxDepth": ("int", 4, 6)}, {"numTrees": 5})
-    return gbt.withColumn("family", F.lit("gbt")).unionByName(
-        rf.withColumn("family", F.lit("rf"))
-    )
+    """The search of run_training: its draws, folds and ranges, on the rows before the holdout."""
+    tried = search(rows_for_models(spark, folder), TRIALS, FOLDS, HOLDOUT)[1]
+    return tried.select("trial", "fold", "params", "mae", "family")
 
 
 def contributions(spark, folder):

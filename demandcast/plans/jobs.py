@@ -13,6 +13,9 @@ from demandcast.schema import HOLDOUT_DAYS
 from demandcast.session import scratch
 from demandcast.sources import artifacts
 
+#: Parameter sets that training draws for each base model, and the folds each is tried on.
+TRIALS, FOLDS = 10, 5
+
 
 def search_params(
     rows: DataFrame,
@@ -64,8 +67,8 @@ def run_training(
     folder: str,
     holdout_days: int = HOLDOUT_DAYS,
     params: dict | None = None,
-    trials: int = 10,
-    folds: int = 5,
+    trials: int = TRIALS,
+    folds: int = FOLDS,
     reference_mode: bool = False,
 ) -> tuple[FeatureTable, Training]:
     """Features, search, training, and all results written to `folder`.

@@ -212,3 +212,30 @@ def test_search_feeds_training(table, reference_mode):
     best = search_params(model_rows(table.rows), 2, 2, 14, reference_mode, spaces, fixed)
     assert best["gbt"]["maxIter"] == 2 and best["gbt"]["maxDepth"] in (2, 3)
     assert best["rf"]["numTrees"] == 2 and best["rf"]["maxDepth"] in (2, 3, 4)
+
+
+def test_trained_queries_run_the_whole_job(spark, monkeypatch):
+    from inspect import signature
+
+    from checks import spark_queries as queries
+    from demandcast.plans.jobs import run_training
+
+    calls = {}
+    table = spark.createDataFrame([(0, 1, "", 1.0, "gbt")], "trial int, fold int, params string, mae double, family string")
+
+    def train(rows, holdout_days, gbt_params=None, rf_params=None, **other):
+        calls["train"] = (gbt_params, rf_params, other)
+
+    def search(rows, trials, folds, holdout_days, **other):
+        calls["search"] = (trials, folds, other)
+        return {}, table
+
+    monkeypatch.setattr(queries, "rows_for_models", lambda spark, folder: table)
+    monkeypatch.setattr(queries, "train_forecaster", train)
+    monkeypatch.setattr(queries, "search", search)
+    monkeypatch.setattr(queries, "_trained", {})
+    queries.training(spark, "folder")
+    assert calls["train"] == (None, None, {})
+    assert queries.hyperparam_search(spark, "folder").columns == ["trial", "fold", "params", "mae", "family"]
+    default = signature(run_training).parameters
+    assert calls["search"] == (default["trials"].default, default["folds"].default, {})
