@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+from collections import Counter
 from math import log10
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandcast.llm.common import arrow
+from demandcast.session import scratch
 
 # The base shapes and their least lengths.
 ASSIGN = re.compile(
@@ -17,10 +19,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Credential contexts beyond the base shapes: a name, a link, a value of any characters.
+#: Credential contexts beyond the base shapes: a name, a link, a value of any characters after a scheme word if there is one.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|bearer|credentials?"""
+    r"""(?P<name>pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|bearer|credentials?"""
     r"""|private[_-]?key|access[_-]?key|client[_-]?secret)["']?\s*(?::=|=>|[:=]|\sis\s)\s*"""
+    r"""(?:(?:bearer|basic|digest|negotiate|apikey|token)\s+)?+"""
     r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"',;]{6,}))""",
     re.ASCII | re.IGNORECASE,
 )
@@ -36,10 +39,15 @@ COMMON = tuple(
     replace redacted removed hidden xxx abc api auth access private public client name pass word mustang michael jordan
     hunter killer pepper ginger cookie soccer hockey tiger jessica jennifer thomas charlie daniel andrew matthew joshua
     george amanda ashley nicole blue green black white red silver golden orange purple star moon sun house dog cat horse
-    correct battery staple""".split()
+    correct battery staple bearer basic digest negotiate apikey""".split()
 )
 RANK = {word: i + 1 for i, word in enumerate(dict.fromkeys(COMMON))}
 LONGEST = max(map(len, RANK))
+#: A run of letters; a word of a document is one without digits or underscores beside it.
+RUN = re.compile(r"[^\W\d_]{3,30}")
+WORD = re.compile(r"(?<!\w)[^\W\d_]{3,30}(?!\w)")
+#: Words that a task counts before it gives them out.
+HELD = 200_000
 LEET = str.maketrans("@4831!05$7", "aabeiiosst")
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujm")
 NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)}
@@ -62,10 +70,11 @@ def _brute(value: str) -> float:
     return log10(size + 33 * any(not c.isalnum() for c in value) or 100)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses that find `value` by its cheapest split into segments.
 
-    Segments: a common word in any case and with digits for letters, a date or
+    Segments: a common word in any case and with digits for letters, a whole run of
+    letters that `ranks` (of fit()) knows, a date or
     year, a block repeated, a walk over neighbouring keys or an alphabet, and
     single characters by brute force. One pass over the positions; a segment is a
     word of bounded length or a run that is followed as far as it goes, so the time
@@ -75,6 +84,7 @@ def guess_cost(value: str) -> float:
     plain = low.translate(LEET)
     best = [0.0] + [float("inf")] * n
     brute = _brute(value) if n else 0.0
+    ends = dict(m.span() for m in RUN.finditer(value))
     walk = [0] * (n + 1)  # steps of the walk that ends before i
     for i in range(1, n):
         walk[i] = walk[i - 1] + 1 if low[i - 1 : i + 1] in NEXT or low[i - 1 : i + 1][::-1] in NEXT else 0
@@ -93,6 +103,10 @@ def guess_cost(value: str) -> float:
             if rank:
                 cost += log10(rank) + (0.0 if value[i:j].islower() or value[i:j] == low[i:j] else 0.6)
                 best[j] = min(best[j], here + cost)
+        run = ends.get(i)
+        if run and low[i:run] in ranks:
+            cost = log10(ranks[low[i:run]]) + (0.0 if value[i:run].islower() else 0.6)
+            best[run] = min(best[run], here + cost)
         found = DATE.match(value, i)
         if found:
             cost = DATES if found.end() - i > 4 else YEARS
@@ -123,23 +137,78 @@ def _hinted(text: str) -> bool:
     return any(hint in low for hint in HINTS)
 
 
-def guess_spans(text: str, base, least: float) -> list[tuple[int, int, str]]:
-    """Values in credential contexts that cost at least 10**`least` guesses, outside of base spans."""
+def values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the values in credential contexts; a value may hold another context."""
     found = []
     if _hinted(text):
-        found = [m.span(m.lastindex) for m in CONTEXT.finditer(text)]
+        m = CONTEXT.search(text)
+        while m:
+            found.append(m.span(m.lastindex))
+            m = CONTEXT.search(text, m.end("name"))
     if "://" in text:
         found += [m.span(1) for m in ADDRESS.finditer(text)]
-    taken, out = sorted(base), []
-    for start, end in sorted(set(found)):
-        if any(a < end and start < b for a, b, _ in taken):
+    return sorted(set(found))
+
+
+def guess_spans(text: str, base, least: float, ranks: dict[str, int] = RANK) -> list[tuple[int, int, str]]:
+    """Values in credential contexts that cost at least 10**`least` guesses, outside of base spans."""
+    taken, out, cheap = sorted(base), [], set()
+    for start, end in values(text):
+        # The end of a cheap value isn't dearer than the value.
+        if end in cheap or any(a < end and start < b for a, b, _ in taken):
             continue
-        if guess_cost(text[start:end]) >= least:
+        if guess_cost(text[start:end], ranks) >= least:
             out.append((start, end, "guess"))
             taken.append(out[-1])
+        else:
+            cheap.add(end)
     return out
 
 
+COUNTED = "word string, n bigint, asked boolean"
+
+
+def fit(docs: DataFrame) -> dict[str, int]:
+    """Ranks of the words of all documents that also occur as runs of letters in candidate values.
+
+    Words are counted outside of candidate values, so copies of a secret don't make
+    it a word, and those seen once are left out. A rank is the number of words seen
+    as often or more. Counts stay in the tasks; the driver and later the tasks get
+    one rank for each distinct run of candidate values that is a word.
+    """
+
+    def count(batches):
+        seen, asked = Counter(), set()
+
+        def rows():
+            names = list(seen.keys() | asked)
+            return arrow(COUNTED, names, [seen[n] for n in names], [n in asked for n in names])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                at, text = 0, text or ""
+                for start, end in values(text):
+                    asked.update(w.lower() for w in RUN.findall(text[start:end]))
+                    if start > at:
+                        seen.update(WORD.findall(text[at:start].lower()))
+                    at = max(at, end)
+                seen.update(WORD.findall(text[at:].lower()))
+                if len(seen) + len(asked) > HELD:
+                    yield rows()
+                    seen, asked = Counter(), set()
+        yield rows()
+
+    counted = docs.select("text").mapInArrow(count, COUNTED).groupBy("word")
+    counted = counted.agg(F.sum("n").alias("n"), F.max("asked").alias("asked")).where("n >= 2")
+    with scratch(docs.sparkSession) as store:
+        words = store(counted, "words")
+        rank, place = {}, 0
+        for n, number in words.groupBy("n").count().orderBy(F.desc("n")).collect():
+            place += number
+            rank[n] = place
+        return RANK | {w: min(rank[n], RANK.get(w, rank[n])) for w, n in words.where("asked").select("word", "n").collect()}
+
+
 def written(spans) -> str:
     ordered = sorted(spans, key=lambda x: (x[0], KINDS.index(x[2])))
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in ordered)
@@ -155,15 +224,17 @@ def find_secrets(docs: DataFrame, least: float = 9.0) -> DataFrame:
     spans (an empty list's digest, empty `spans`). Repeated rows give repeated
     rows. An empty table gives an empty one. Other columns are left out.
     `least` is the log10 of guesses from which a value in a credential context
-    counts as a secret; cheaper ones are placeholders or examples.
+    counts as a secret; cheaper ones are placeholders or examples. The words of
+    all documents are counted first, see fit().
     """
+    ranks = fit(docs)
 
     def scan(batches):
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 base = base_spans(text or "")
-                more = guess_spans(text or "", base, least)
+                more = guess_spans(text or "", base, least, ranks)
                 counts = [sum(k == kind for _, _, k in base) for kind in KINDS[:3]]
                 digest = hashlib.sha256(written(base).encode()).hexdigest()
                 rows.append((doc, *counts, digest, written(base + more), len(more)))
@@ -177,11 +248,12 @@ def redact(docs: DataFrame, least: float = 9.0, mark: str = "[REDACTED]") -> Dat
     """`docs` with every secret span replaced by `mark`; n_chars follows the text, null text stays null."""
     schema = docs.schema
     place = docs.columns.index("text")
+    ranks = fit(docs)
 
     def cover(text):
         base = base_spans(text)
         out, end = [], 0
-        for a, b, _ in sorted(base + guess_spans(text, base, least)):
+        for a, b, _ in sorted(base + guess_spans(text, base, least, ranks)):
             if b > end:
                 out += [text[end:a], mark] if a >= end else []
                 end = b

@@ -191,6 +191,22 @@ def test_secret_spans(spark):
     assert covered[2]["n_chars"] == len(covered[2]["text"])
 
 
+def test_words_of_the_corpus_are_no_secrets_and_schemes_no_values(spark):
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0"
+    clean = ["The password is required here.", "Your token is invalid", "token is expired.", "Authorization: Bearer", "password: qzvjwkxpn"]
+    texts = [
+        *clean[:4], clean[4], clean[4],
+        f"Authorization: Bearer {token}", f"authorization: basic {token}\n",
+        "A name is required and what is required is not invalid.", "An invalid or expired form has expired.",
+    ]
+    got = {r["doc_id"]: r for r in secret_scan.find_secrets(documents(spark, texts)).collect()}
+    assert [got[i]["n_guess"] for i in range(len(texts))] == [0, 0, 0, 0, 1, 1, 1, 1, 0, 0]
+    covered = {r["doc_id"]: r["text"] for r in secret_scan.redact(documents(spark, texts)).collect()}
+    assert [covered[i] for i in (0, 1, 2, 3, 8, 9)] == [texts[i] for i in (0, 1, 2, 3, 8, 9)]
+    assert covered[4] == covered[5] == "password: [REDACTED]"
+    assert covered[6] == "Authorization: Bearer [REDACTED]" and covered[7] == "authorization: basic [REDACTED]\n"
+
+
 def test_guess_cost_orders_values():
     cost = secret_scan.guess_cost
     assert cost("") == 0
