@@ -58,7 +58,7 @@ def _first(text: Column, pattern: str, groups: int) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(a, b): addresses of a page and of its canonical link or refresh target."""
+    """(source, target): URLs of a page and of its canonical link or refresh target, resolved."""
     html = F.coalesce(F.col("html"), F.lit(""))
     canonical = F.filter(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda tag: tag.rlike(CANONICAL))
     refresh = F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0))
@@ -66,7 +66,7 @@ def links(pages: DataFrame) -> DataFrame:
         F.transform(canonical, lambda tag: _first(tag, HREF, 3)), F.transform(refresh, lambda tag: _first(tag, TARGET, 2))
     )
     named = pages.where(html.rlike(r"(?is)<link\b|http-equiv")).select("url", F.explode(targets).alias("target"))
-    return named.select(address(F.col("url")).alias("a"), address(_resolved(F.col("target"), F.col("url"))).alias("b"))
+    return named.select(F.col("url").alias("source"), _resolved(F.col("target"), F.col("url")).alias("target"))
 
 
 def _rule(rules, where: Column, way: Column, fields) -> Column:
@@ -99,18 +99,20 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame |
     named = pages.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     named = named.withColumn("rule", _rule(rules, F.col("host"), F.col("path"), "rule"))
     named = named.withColumn("verdict", _rule(rules, F.col("host"), F.col("path"), "verdict"))
-    edges = links(pages)
+    linked = links(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(address(F.col("source")).alias("a"), address(F.col("target")).alias("b")))
-    edges = materialize(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "links")
+        linked = linked.unionByName(redirects.select("source", "target"))
+    linked = linked.withColumns({"a": address(F.col("source")), "b": address(F.col("target"))})
+    linked = materialize(linked.where("a IS NOT NULL AND b IS NOT NULL").distinct(), "links")
+    edges = linked.where("a <> b").select("a", "b").distinct()
     classes = materialize(components(edges), "classes")
 
     def seeds(urls):
         verdict = _rule(rules, host(F.col("url")), path(F.col("url")), "verdict")
         return urls.select(address(F.col("url")).alias("node"), verdict.alias("own")).where("node IS NOT NULL AND own IS NOT NULL")
 
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = ends.select(F.concat(F.lit("x://"), F.col("node")).alias("url"))
+    # Judged by the whole URL: the address has lost a trailing slash that rules may ask for.
+    ends = linked.select(F.explode(F.array("source", "target")).alias("url")).distinct()
     found = seeds(pages.select("url")).unionByName(seeds(ends)).join(classes, "node", "left")
     # A URL's own class is its address; classes of linked addresses are their components.
     head = F.coalesce(F.col("component"), F.col("node"))

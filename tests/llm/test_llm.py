@@ -255,6 +255,23 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(df.limit(0), RULES).count() == 0
 
 
+def test_url_rules_of_link_targets_keep_their_slash(spark):
+    pages = [
+        page(0, "http://a.org/1", '<link rel="canonical" href="http://x.net/es/">'),
+        page(1, "http://a.org/2", '<meta http-equiv="refresh" content="0; url=http://x.net/es/">'),
+        page(2, "http://a.org/3", '<link rel="canonical" href="http://ok.com/">'),
+        page(3, "http://b.org/4", '<link rel="canonical" href="http://a.org/3">'),
+        page(4, "http://a.org/5", '<link rel="canonical" href="http://x.net/es">'),
+    ]
+    df = spark.createDataFrame([*pages[:3], pages[3]], "page_id bigint, url string, html string")
+    links = spark.createDataFrame([("http://a.org/3", "http://x.net/fr/"), ("http://c.org/6", "http://x.net/fr/")], "source string, target string")
+    rules = [("allow", "com/"), ("block", "net/es/"), ("block", "net/fr/")]
+    got = rows(url_filter.judge(df, rules, links), "page_id", "verdict")
+    assert got == [(0, "block"), (1, "block"), (2, "allow"), (3, "allow")]
+    alone = spark.createDataFrame(pages[4:], "page_id bigint, url string, html string")
+    assert rows(url_filter.judge(alone, rules), "page_id", "verdict") == [(4, "allow")]
+
+
 def test_components_equal_plain_version(spark):
     draw = random.Random(5)
     edges = [(draw.randint(0, 60), draw.randint(0, 60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(30)]
