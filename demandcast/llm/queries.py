@@ -4,7 +4,7 @@ from public_tokenizers import path
 from pyspark.sql import functions as F
 
 from demandcast.llm import decontaminate, language_id, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
-from demandcast.llm.common import held_out, table
+from demandcast.llm.common import table
 from demandcast.llm.oracle import ORACLE  # noqa: F401
 
 BYTE_BPE = path("byte_bpe_50k.json")
@@ -69,9 +69,9 @@ def op7_order_minhash(spark, folder):
 
 
 def op2_language_evidence(spark, folder):
-    """Pages and documents; the text model is counted on the documents that aren't held out."""
+    """Pages and documents; the text model is counted on all documents."""
     docs, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
-    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    model = language_id.fit(docs)
     of_pages = language_id.identify(language_id.page_evidence(pages), model)
     of_docs = language_id.identify(language_id.document_evidence(docs), model)
     none = F.lit(None).cast("long")

@@ -510,6 +510,19 @@ def test_language_evidence(spark):
     assert {r["lang"] for r in untaught.collect()} == {None}
 
 
+def test_language_query_counts_all_documents(spark, tmp_path):
+    from demandcast.llm.queries import op2_language_evidence
+
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2]
+    docs = [(k, prose(k, 30), "en", "s", 0) for k in range(400) if k not in held]
+    docs += [(k, "où êtes vous près du château " * 5, "fr", "s", 0) for k in held]
+    docs += [(None, "ło żółty się więc będzie " * 5, "pl", "s", 0)] * 60
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r["doc_id"], r["lang"]) for r in op2_language_evidence(spark, str(tmp_path)).collect()}
+    assert got == {(k, lang) for k, _, lang, _, _ in docs}
+
+
 def test_pipeline_equals_plain_version(spark, tmp_path):
     import corpus_pipeline
 
