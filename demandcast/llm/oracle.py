@@ -112,4 +112,22 @@ WITH RECURSIVE p AS (
 SELECT page_id, host, path, rule, coalesce(own, class.verdict, 'allow') AS verdict FROM judged LEFT JOIN class USING (node)
 """
 
-ORACLE = {"op4_line_quality": QUALITY, "op6_url_equivalence": URLS}
+LINE_DEDUP = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT rid, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), c AS (
+  SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT rid) >= 5
+), j AS (
+  SELECT k.rid, k.doc_id, k.i, k.line, coalesce(c.owner <> k.doc_id, false) AS gone FROM k LEFT JOIN c ON k.key = c.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY rid, doc_id
+"""
+
+ORACLE = {"op4_line_quality": QUALITY, "op6_url_equivalence": URLS, "op13_line_dedup": LINE_DEDUP}

@@ -3,7 +3,7 @@
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from demandcast.llm import decontaminate, language_id, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
+from demandcast.llm import decontaminate, language_id, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
 from demandcast.llm.common import table
 from demandcast.llm.oracle import ORACLE  # noqa: F401
 
@@ -80,7 +80,13 @@ def op2_language_evidence(spark, folder):
     )
 
 
+def op13_line_dedup(spark, folder):
+    kept = line_dedup.drop_common_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op13_line_dedup": op13_line_dedup,
     "op2_language_evidence": op2_language_evidence,
     "op7_order_minhash": op7_order_minhash,
     "op3_benchmark_leaks": op3_benchmark_leaks,
