@@ -3,7 +3,7 @@
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from demandcast.llm import decontaminate, language_id, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
+from demandcast.llm import decontaminate, language_id, line_dedup, near_duplicates, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
 from demandcast.llm.common import table
 from demandcast.llm.oracle import ORACLE  # noqa: F401
 
@@ -85,7 +85,35 @@ def op13_line_dedup(spark, folder):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def planted_repeats(docs):
+    """(doc_id, text): in a tenth of the ids, the text's words repeat from some word on, as op12's contract says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", h.alias("h")).withColumn("g", F.expr("h div 10"))
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, split))
+    docs = docs.withColumn("a", F.expr("g % nullif(size(words), 0)"))
+    docs = docs.withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(words, (w, i) -> CASE WHEN i < a THEN w ELSE words[int(a + (i - a) % p)] END), ' ')")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, folder):
+    found = periodic_runs.collapse_runs(planted_repeats(table(spark, folder, "documents")))
+    lines = F.expr("transform(arrays_zip(starts, lengths, periods), r -> concat_ws(',', r.starts, r.lengths, r.periods) || '\n')")
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "start",
+        "length",
+        "period",
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_line_dedup": op13_line_dedup,
     "op2_language_evidence": op2_language_evidence,
     "op7_order_minhash": op7_order_minhash,
