@@ -23,7 +23,8 @@ GRAM, BASE = 8, 16
 CORE = 512
 _MIX = np.random.default_rng(12).integers(0, 1 << 63, GRAM + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-TILES = "node binary, octave int, boundary bigint, boundaries int, start bigint, codes binary"
+TILE = "node binary, octave int, boundary bigint, boundaries int, start bigint, codes binary"
+LOOKED = f"doc_id bigint, text string, {TILE}"
 FRAGMENTS = "node binary, period bigint, start bigint, end bigint"
 OUT = (
     "doc_id bigint, n_words bigint, n_runs bigint, start bigint, length bigint, period bigint, "
@@ -111,25 +112,63 @@ def tile_spans(place: np.ndarray, distance: np.ndarray, first: np.ndarray):
         lo = hi
 
 
-def tiles(texts: DataFrame) -> DataFrame:
-    """Overlapping tiles of words of every distinct text (node, text), one row for each octave and stretch."""
+def _tiled(part, codes, first) -> list[list]:
+    """For each text of a batch its tiles, as columns after `node`."""
+    out: list[list] = [[] for _ in range(len(part))]
+    for text, lo, boundary, number in tile_spans(*next_places(codes, first), first):
+        _, _, stride, before, after = octave(lo)
+        start = max(0, boundary - before)
+        end = min(first[text + 1] - first[text], boundary + (number - 1) * stride + after)
+        window = codes[first[text] + start : first[text] + end]
+        out[text].append((lo, boundary, number, start, window.astype("<i4").tobytes()))
+    return out
 
-    def cut(batches):
-        for batch in batches:
-            for a, b in array_slices(batch.column("text")):
-                part = batch.slice(a, b - a)
-                codes, first = words_of(part.column("text"))
-                nodes, out = part.column("node").to_pylist(), []
-                for text, lo, boundary, number in tile_spans(*next_places(codes, first), first):
-                    _, _, stride, before, after = octave(lo)
-                    start = max(0, boundary - before)
-                    end = min(first[text + 1] - first[text], boundary + (number - 1) * stride + after)
-                    window = codes[first[text] + start : first[text] + end].astype("<i4").tobytes()
-                    out.append((nodes[text], lo, boundary, number, start, window))
-                if out:
-                    yield arrow(TILES, *zip(*out, strict=True))
-
-    return texts.mapInArrow(cut, TILES)
+
+def _parts(batches):
+    for batch in batches:
+        for a, b in array_slices(batch.column("text")):
+            yield batch.slice(a, b - a)
+
+
+def look_over(texts: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, node) that may hold a run, and the tiles of their words.
+
+    A document has a row with its text; each of its overlapping tiles, one for an
+    octave and stretch of boundaries, has a row without.
+    """
+
+    def look(batches):
+        for part in _parts(batches):
+            out, seen = [], set()
+            codes, first = words_of(part.column("text"))
+            columns = (part.column(c).to_pylist() for c in ("doc_id", "text", "node"))
+            for doc, text, node, found in zip(*columns, _tiled(part, codes, first), strict=True):
+                if found:
+                    out.append((doc, text, node, *[None] * 5))
+                    out += [(None, None, node, *tile) for tile in found if node not in seen]
+                    seen.add(node)
+            if out:
+                yield arrow(LOOKED, *zip(*out, strict=True))
+
+    return texts.select("doc_id", "text", "node").mapInArrow(look, LOOKED)
+
+
+def without_runs(texts: DataFrame) -> DataFrame:
+    """The finished rows of the documents that look_over() leaves out."""
+
+    def finish(batches):
+        for part in _parts(batches):
+            out = []
+            codes, first = words_of(part.column("text"))
+            columns = (part.column(c).to_pylist() for c in ("doc_id", "text"))
+            for doc, text, found in zip(*columns, _tiled(part, codes, first), strict=True):
+                if not found:
+                    words = text.encode().split()
+                    out.append((doc, len(words), 0, None, None, None, [], [], [], b" ".join(words).decode()))
+            if out:
+                yield arrow(OUT, *zip(*out, strict=True))
+
+    return texts.select("doc_id", "text").mapInArrow(finish, OUT)
 
 
 def z_function(words: np.ndarray) -> np.ndarray:
@@ -213,7 +252,7 @@ def merged(spans, period: int):
         yield held
 
 
-def solve(tiled: DataFrame) -> DataFrame:
+def solve(cut: DataFrame) -> DataFrame:
     """(node, period, start, end): fragments of periodic stretches in each tile."""
 
     def find(batches):
@@ -228,7 +267,7 @@ def solve(tiled: DataFrame) -> DataFrame:
             if out:
                 yield arrow(FRAGMENTS, *zip(*out, strict=True))
 
-    return tiled.mapInArrow(find, FRAGMENTS)
+    return cut.mapInArrow(find, FRAGMENTS)
 
 
 def stitched(fragments: DataFrame) -> DataFrame:
@@ -291,16 +330,17 @@ def collapse_runs(docs: DataFrame) -> DataFrame:
     empty table an empty one; other columns are left out. Whole texts of any length are
     searched: an n-word text costs about n log n steps, spread over its tiles. Words
     are compared by codes of a task's dictionary, so results are exact; texts are known
-    by MD5.
+    by MD5. Only documents that may hold a run take part in a join; the others are
+    looked over twice and written as they come.
     """
-    node = F.unhex(F.md5("text"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select("doc_id", "text", node.alias("node"))
+    texts = texts.select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
+    looked = materialize(look_over(texts), "looked")
     with scratch(docs.sparkSession) as store:
         # Copies of a text have the same tiles; they collapse before they are shuffled.
-        cut = store(tiles(texts.select("node", "text")), "tiles").dropDuplicates(["node", "octave", "boundary"])
-        cut = cut.select("node", "octave", "boundary", "boundaries", "start", "codes")
-        runs = materialize(packed(stitched(solve(cut))), "runs")
+        cut = looked.where("codes IS NOT NULL").dropDuplicates(["node", "octave", "boundary"])
+        fragments = store(solve(cut.select(*(f.split()[0] for f in TILE.split(", ")))), "fragments")
+        runs = materialize(packed(stitched(fragments)), "runs")
 
     def write(batches):
         columns = ("doc_id", "text", "starts", "lengths", "periods")
@@ -309,11 +349,10 @@ def collapse_runs(docs: DataFrame) -> DataFrame:
             for doc, text, *runs in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 words = text.encode().split()
                 found = [x or [] for x in runs]
-                kept = collapse(words, *found) if found[0] else words
                 best = sharpest(*found) or (None, None, None)
-                out.append((doc, len(words), len(found[0]), *best, *found, b" ".join(kept).decode()))
+                out.append((doc, len(words), len(found[0]), *best, *found, b" ".join(collapse(words, *found)).decode()))
             if out:
                 yield arrow(OUT, *zip(*out, strict=True))
 
-    joined = texts.join(runs, "node", "left").select("doc_id", "text", "starts", "lengths", "periods")
-    return joined.mapInArrow(write, OUT)
+    joined = looked.where("codes IS NULL").join(runs, "node", "left").select("doc_id", "text", "starts", "lengths", "periods")
+    return without_runs(texts).unionByName(joined.mapInArrow(write, OUT))
