@@ -19,6 +19,7 @@ ARROW = {
     "string": pa.string(),
     "binary": pa.binary(),
     "array<bigint>": pa.list_(pa.int64()),
+    "array<double>": pa.list_(pa.float64()),
     "array<int>": pa.list_(pa.int32()),
 }
 

@@ -3,7 +3,7 @@
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from demandcast.llm import decontaminate, language_id, line_dedup, near_duplicates, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
+from demandcast.llm import decontaminate, language_id, line_dedup, near_duplicates, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter, whitening
 from demandcast.llm.common import table
 from demandcast.llm.oracle import ORACLE  # noqa: F401
 
@@ -112,7 +112,31 @@ def op12_periodic_runs(spark, folder):
     )
 
 
+OP11 = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
+
+
+def op11_embedding_whitening(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    model, vectors = whitening.fit(rows, components=4)
+    if model is None:
+        return spark.createDataFrame([], OP11)
+    error = whitening.identity_error(vectors, model)
+    # Null where no vector differs from another.
+    shares = F.array(*(F.lit(v / model.trace if model.trace else None).cast("double") for v in model.values.tolist()))
+    found = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return found.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("place")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
 QUERIES = {
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_line_dedup": op13_line_dedup,
     "op2_language_evidence": op2_language_evidence,
