@@ -17,7 +17,7 @@ from checks.spark_queries import QUERIES, joined, naive  # noqa: E402
 from checks.spark_queries import feature_table, training  # noqa: E402
 from demandcast.operators import evaluate  # noqa: E402
 from demandcast.plans.features import with_features  # noqa: E402
-from demandcast.session import build_session  # noqa: E402
+from demandcast.session import build_session, materialize  # noqa: E402
 
 
 def run(df):
@@ -42,7 +42,7 @@ def main():
         "scan_sales": lambda: run(QUERIES["scan_sales"](spark, folder)),
         "daily_sales": lambda: run(QUERIES["daily_sales"](spark, folder)),
         "outlier_filter": lambda: run(QUERIES["outlier_filter"](spark, folder)),
-        "window_features": lambda: run(with_features(joined(spark, folder))),
+        "window_features": lambda: run(with_features(materialize(joined(spark, folder), "joined"))),
         "recent_history": lambda: run(QUERIES["recent_history"](spark, folder)),
         "impute_median": lambda: run(QUERIES["impute_median"](spark, folder)),
         "build_features": lambda: feature_table(spark, folder),

@@ -107,11 +107,12 @@ def _raw_window_columns() -> dict[str, str]:
     columns["series_rows"] = f"count(*) OVER ({SERIES})"
     for h in HORIZONS:
         columns[f"target_t{h}"] = f"lead(units_sold, {h}) OVER ({ORDER})"
+        columns[f"target_date_t{h}"] = f"lead(date, {h}) OVER ({ORDER})"
     return columns
 
 
 WINDOW_COLUMNS = _raw_window_columns()
-NOT_FILLED = {"expanding_count", "series_rows"} | {f"target_t{h}" for h in HORIZONS}
+NOT_FILLED = {"expanding_count", "series_rows"} | {f"target{d}_t{h}" for h in HORIZONS for d in ("", "_date")}
 FILLED = [c for c in WINDOW_COLUMNS if c not in NOT_FILLED]
 WINDOWED = "SELECT *, " + ", ".join(f"{e} AS {c}" for c, e in WINDOW_COLUMNS.items()) + " FROM calendar"
 FEATURED = (
@@ -279,8 +280,7 @@ FROM gappy g JOIN medians p USING (product_id), overall o
 ORACLE = {
     "scan_sales": with_tables(f"SELECT {SALES_COLUMNS} FROM sales"),
     "scan_inventory": with_tables("SELECT * FROM inventory"),
-    "normalize_columns": """
-        SELECT p_partkey AS part_key, p_name AS product_name, p_retailprice AS retail_price FROM part""",
+    "normalize_columns": "SELECT * FROM part",
     "parse_dates": """
         SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderstatus = 'O'""",
     "outlier_filter": """
@@ -310,6 +310,7 @@ ORACLE = {
     "trend_features": window_query("trend_ratio_7_28", "trend_diff_7_28"),
     "sale_frequency": window_query("sold_flag", *[f"sale_frequency_{k}" for k in FREQUENCY_WINDOWS]),
     "volatility": window_query("volatility_7"),
+    "target_dates": window_query(*[f"target_date_t{h}" for h in HORIZONS]),
     "multi_horizon_targets": window_query(*[f"target_t{h}" for h in HORIZONS], "target"),
     "min_history": with_tables(
         f"SELECT {KEYS}, units_sold FROM featured WHERE series_rows > 35"),

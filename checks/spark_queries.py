@@ -1,11 +1,14 @@
 """Spark queries over the given tables, one per operator."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.duckdb_sql import CENT, HOLDOUT, METRIC_NAMES, MICRO, PRICE_COLUMNS, UNIT_STATISTICS, WINDOW_COLUMNS
 from checks.rounding import rounded
 from demandcast.operators import (
     aggregate,
+    boosting,
     clean,
     encode,
     evaluate,
@@ -16,8 +19,9 @@ from demandcast.operators import (
     split,
 )
 from demandcast.operators.series import series_features, zero_fill
+from demandcast.plans.boosted import search_boosted, train_boosted
 from demandcast.plans.features import build_features, with_features
-from demandcast.plans.jobs import FOLDS, TRIALS, search
+from demandcast.plans.jobs import FOLDS, TRIALS
 from demandcast.plans.score import batch_score, forecast_latest
 from demandcast.plans.train import train_forecaster
 from demandcast.schema import (
@@ -29,7 +33,7 @@ from demandcast.schema import (
     LAGS,
     ROLLING_WINDOWS,
 )
-from demandcast.session import materialize
+from demandcast.session import materialize, shared_folder
 from demandcast.sources.star import star_inventory, star_sales
 
 KEYS = ("date", "product_id", "city_name")
@@ -80,7 +84,10 @@ def naive(spark, folder):
 
 
 def window_query(*names):
-    return lambda spark, folder: comparable(with_features(joined(spark, folder)), *KEYS, *names)
+    # Stored, as the windows want their input: it is read twice, and its series aren't in one task.
+    return lambda spark, folder: comparable(
+        with_features(materialize(joined(spark, folder), "joined")), *KEYS, *names
+    )
 
 
 def scan_sales(spark, folder):
@@ -90,11 +97,7 @@ def scan_sales(spark, folder):
 
 def normalize_columns(spark, folder):
     part = table(spark, folder, "part")
-    raw = part.select(
-        F.col("p_partkey").alias(" Part Key"),
-        F.col("p_name").alias("Product Name "),
-        F.col("p_retailprice").alias("RETAIL PRICE"),
-    )
+    raw = part.toDF(*[f" {name.replace('_', ' ').upper()}  " for name in part.columns])
     return clean.normalize_columns(raw)
 
 
@@ -272,9 +275,28 @@ def single_model(name):
 
 
 def hyperparam_search(spark, folder):
-    """The search of run_training: its draws, folds and ranges, on the rows before the holdout."""
-    tried = search(rows_for_models(spark, folder), TRIALS, FOLDS, HOLDOUT)[1]
-    return tried.select("trial", "fold", "params", "mae", "family")
+    """The adaptive search with the draws and folds of a training run, on the rows before the holdout."""
+    table = f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}"
+    return search_boosted(rows_for_models(spark, folder), table, TRIALS, FOLDS, HOLDOUT)
+
+
+_boosted = {}
+
+
+def boosted(spark, folder):
+    """One training of the histogram boosters per application and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _boosted:
+        _boosted[key] = train_boosted(rows_for_models(spark, folder), HOLDOUT)
+    return _boosted[key]
+
+
+def gain_importance(spark, folder):
+    found = [
+        boosting.gain_importance(model, spark).select(F.lit(family).alias("family"), "*")
+        for family, model in boosted(spark, folder).models.items()
+    ]
+    return found[0].unionByName(found[1])
 
 
 def contributions(spark, folder):
@@ -371,6 +393,12 @@ QUERIES = {
         models.feature_importance(training(s, d).forecaster.gbt, s), 25
     ),
     "hyperparam_search": hyperparam_search,
+    "boosting_curve": lambda s, d: boosted(s, d).curve(s),
+    "boosted_predictions": lambda s, d: boosted(s, d).scored,
+    "boosted_metrics": lambda s, d: boosted(s, d).metrics(),
+    "boosted_trees": lambda s, d: boosted(s, d).nodes(s),
+    "gain_importance": gain_importance,
+    "target_dates": window_query(*[f"target_date_t{h}" for h in HORIZONS]),
     "batch_score": batch_scores,
     "forecast_latest": lambda s, d: forecast_latest(
         feature_table(s, d).rows, training(s, d).forecaster

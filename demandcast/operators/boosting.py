@@ -91,7 +91,7 @@ def feature_borders(rows: DataFrame, features, most: int = BINS - 1) -> list[np.
     the greatest. Columns must be free of nulls.
     """
     shares = [(k + 1) / (most + 1) for k in range(most)]
-    sketches = [F.percentile_approx(f, shares, 10_000).alias(f) for f in features]
+    sketches = [F.percentile_approx(f, shares, 2_000).alias(f) for f in features]
     found, tops = rows.agg(*sketches), rows.agg(*[F.max(f).alias(f) for f in features])
     found, tops = found.first(), tops.first()
     out = []
@@ -385,6 +385,13 @@ class _Fits:
     def splits(self, asked: dict[int, tuple[Tree, list[int], int]], turn: int) -> dict[int, dict[int, tuple]]:
         """For each model the best splits of the nodes it asks for (tree so far, nodes, level)."""
         sizes, chunks, merged = self.sizes, self.chunks, self.tasks > 1
+        needs = {m: (self.jobs[m].spec, level) for m, (_, _, level) in asked.items()}
+
+        def choose(item):
+            (m, c), (squares, sums) = item
+            spec, level = needs[m]
+            return [(m, *row) for row in _chosen(spec, sums, squares, sizes, chunks[c], turn, level)]
+
         parts = []
         for members, state in self.states:
             wanted = [(i, m, self.jobs[m], *asked[m]) for i, m in enumerate(members) if m in asked]
@@ -398,19 +405,13 @@ class _Fits:
                     for c, (a, b) in enumerate(chunks):
                         yield (m, c), (squares, np.ascontiguousarray(sums[:, :, a + sizes[:a].sum() : b + sizes[:b].sum()]))
 
-            parts.append(state.mapPartitions(add))
+            # Where one task has all rows, its histograms never leave it.
+            parts.append(state.mapPartitions(add) if merged else state.mapPartitions(add).flatMap(choose))
         found = self.context.union(parts)
         if merged:
-            found = found.reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), len(chunks))
-        needs = {m: (self.jobs[m].spec, level) for m, (_, _, level) in asked.items()}
-
-        def choose(item):
-            (m, c), (squares, sums) = item
-            spec, level = needs[m]
-            return [(m, *row) for row in _chosen(spec, sums, squares, sizes, chunks[c], turn, level)]
-
+            found = found.reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), len(chunks)).flatMap(choose)
         out: dict[int, dict[int, tuple]] = {m: {} for m in asked}
-        for m, node, *row in sorted(found.flatMap(choose).collect(), key=lambda r: (r[0], r[1], -r[4], r[2])):
+        for m, node, *row in sorted(found.collect(), key=lambda r: (r[0], r[1], -r[4], r[2])):
             out[m].setdefault(asked[m][1][node], tuple(row))
         return out
 

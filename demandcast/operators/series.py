@@ -53,20 +53,20 @@ def _bounded_columns(order) -> dict:
     )
     for h in HORIZONS:
         columns[f"target_t{h}"] = F.lead("units_sold", h).over(order)
+        columns[f"target_date_t{h}"] = F.lead("date", h).over(order)
     return columns
 
 
 def series_positions(daily: DataFrame) -> DataFrame:
     """Add `_row`, the 1-based row number within the series, `series_rows`, and
-    `_level`, the mean units of the series.
+    `_level`, the units of the series' first row.
 
     Rows are counted per series and date first; only those counts (one per
     calendar day) are accumulated over a series.
     """
     days = daily.groupBy(*SERIES, "date").agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.sum("units_sold").alias("_units"),
-        F.count("units_sold").alias("_known"),
+        F.min_by("units_sold", F.struct(*SERIES_ORDER[1:])).alias("_units"),
     )
     series = W.partitionBy(*SERIES)
     earlier = series.orderBy("date").rowsBetween(W.unboundedPreceding, -1)
@@ -75,9 +75,7 @@ def series_positions(daily: DataFrame) -> DataFrame:
         "date",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_earlier"),
         F.sum("_rows").over(series).alias("series_rows"),
-        F.coalesce(
-            F.try_divide(F.sum("_units").over(series), F.sum("_known").over(series)), F.lit(0.0)
-        ).alias("_level"),
+        F.coalesce(F.first("_units").over(series.orderBy("date")), F.lit(0.0)).alias("_level"),
     )
     same_day = W.partitionBy(*SERIES, "date").orderBy(*SERIES_ORDER[1:])
     return (
@@ -95,8 +93,9 @@ def _in_blocks(df: DataFrame, block_rows: int) -> DataFrame:
     comes from block totals. No task holds more than one block, its borders,
     and the totals of one series.
 
-    Sums and squares are taken of the distance from the series' mean level, so
-    that large values don't cancel. The results don't depend on that level.
+    Sums and squares are taken of the distance from the series' first units, so
+    that large values don't cancel. Rows that come later change nothing, not even
+    the last digit of a row's statistics.
     """
     if block_rows <= max(PAST_ROWS, FUTURE_ROWS):
         raise ValueError("a block must be longer than the longest look-back")

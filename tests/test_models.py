@@ -226,16 +226,16 @@ def test_trained_queries_run_the_whole_job(spark, monkeypatch):
     def train(rows, holdout_days, gbt_params=None, rf_params=None, **other):
         calls["train"] = (gbt_params, rf_params, other)
 
-    def search(rows, trials, folds, holdout_days, **other):
+    def search(rows, stored, trials, folds, holdout_days, **other):
         calls["search"] = (trials, folds, other)
-        return {}, table
+        return table
 
     monkeypatch.setattr(queries, "rows_for_models", lambda spark, folder: table)
     monkeypatch.setattr(queries, "train_forecaster", train)
-    monkeypatch.setattr(queries, "search", search)
+    monkeypatch.setattr(queries, "search_boosted", search)
     monkeypatch.setattr(queries, "_trained", {})
     queries.training(spark, "folder")
     assert calls["train"] == (None, None, {})
-    assert queries.hyperparam_search(spark, "folder").columns == ["trial", "fold", "params", "mae", "family"]
+    assert queries.hyperparam_search(spark, "folder") is table
     default = signature(run_training).parameters
     assert calls["search"] == (default["trials"].default, default["folds"].default, {})
