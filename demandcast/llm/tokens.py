@@ -124,6 +124,35 @@ def chunk_hashes(buf: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return (total ^ (total >> np.uint64(29))) * _P + np.diff(cuts).astype(np.uint64)
 
 
+def distinct_chunks(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of a chunk for each distinct one, and for each chunk its place in that list.
+
+    Chunks with equal hashes are compared byte by byte with one of them; those that
+    differ from it are told apart by their bytes.
+    """
+    _, first, which = np.unique(chunk_hashes(buf, cuts), return_index=True, return_inverse=True)
+    like = first[which]
+    size, start = np.diff(cuts), cuts[:-1]
+    odd = size != size[like]
+    shift = np.where(odd, 0, start[like] - start)
+    for low in range(0, len(buf), BLOCK):
+        high = min(len(buf), low + BLOCK)
+        a, b = np.searchsorted(cuts, low, "right") - 1, np.searchsorted(cuts, high, "left")
+        inside = np.minimum(cuts[a + 1 : b + 1], high) - np.maximum(start[a:b], low)
+        at = np.arange(low, high) + np.repeat(shift[a:b], inside)
+        wrong = np.flatnonzero(buf[at] != buf[low:high])
+        if len(wrong):
+            odd[np.searchsorted(cuts, wrong + low, "right") - 1] = True
+    known: dict[bytes, int] = {}
+    for i in np.flatnonzero(odd).tolist():
+        which[i] = known.setdefault(buf[cuts[i] : cuts[i + 1]].tobytes(), len(first) + len(known))
+    if known:
+        extra = np.zeros(len(known), np.int64)
+        extra[which[odd] - len(first)] = np.flatnonzero(odd)
+        first = np.concatenate([first, extra])
+    return first, which
+
+
 _POWER = (_powers(np.uint64(0xD6E8FEB86659FD93)), _powers(np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))))
 
 
@@ -208,7 +237,7 @@ class Encoder:
             return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
         starts = borders(buf, offsets[:-1][np.diff(offsets) > 0])
         cuts = np.append(starts, len(buf))
-        _, first, which = np.unique(chunk_hashes(buf, cuts), return_index=True, return_inverse=True)
+        first, which = distinct_chunks(buf, cuts)
         ids, counts, order = self._distinct(buf, cuts[first], cuts[first + 1])
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.cumsum(counts) - counts
