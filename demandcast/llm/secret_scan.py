@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from math import log10
 
@@ -19,12 +20,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Credential contexts beyond the base shapes: a name, a link, a value of any characters after a scheme word if there is one.
+#: Credential contexts beyond the base shapes: a name, a link, and after a scheme word if there is one the start of a
+#: value: six characters or more up to the closing quote of the line, or without quotes up to white space, a quote, `,` or `;`.
 CONTEXT = re.compile(
     r"""(?P<name>pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|bearer|credentials?"""
     r"""|private[_-]?key|access[_-]?key|client[_-]?secret)["']?\s*(?::=|=>|[:=]|\sis\s)\s*"""
     r"""(?:(?:bearer|basic|digest|negotiate|apikey|token)\s+)?+"""
-    r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"',;]{6,}))""",
+    r"""(?:(?P<quote>["'])|(?=[^\s"',;]{6}))""",
     re.ASCII | re.IGNORECASE,
 )
 ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:([^\s/@]{6,})@")
@@ -137,19 +139,37 @@ def _hinted(text: str) -> bool:
     return any(hint in low for hint in HINTS)
 
 
+STOPS = re.compile(r"[\s\"',;]", re.ASCII)
+
+
 def values(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the values in credential contexts; a value may hold another context."""
+    """(start, end) of the values in credential contexts; a value may hold another context.
+
+    Ends are looked up among the places of what ends a value, so that many values with one end cost no more.
+    """
     found = []
     if _hinted(text):
+        stops = None
         m = CONTEXT.search(text)
         while m:
-            found.append(m.span(m.lastindex))
+            if stops is None:
+                stops = {'"': _places('["\n]', text), "'": _places("['\n]", text), None: _places(STOPS, text)}
+            start, quote = m.end(), m["quote"]
+            k = bisect_left(stops[quote], start)
+            end = stops[quote][k] if k < len(stops[quote]) else len(text)
+            # A quoted value ends on its own line.
+            if quote is None or (end - start >= 6 and end < len(text) and text[end] == quote):
+                found.append((start, end))
             m = CONTEXT.search(text, m.end("name"))
     if "://" in text:
         found += [m.span(1) for m in ADDRESS.finditer(text)]
     return sorted(set(found))
 
 
+def _places(pattern, text: str) -> list[int]:
+    return [m.start() for m in re.finditer(pattern, text)]
+
+
 def guess_spans(text: str, base, least: float, ranks: dict[str, int] = RANK) -> list[tuple[int, int, str]]:
     """Values in credential contexts that cost at least 10**`least` guesses, outside of base spans."""
     taken, out, cheap = sorted(base), [], set()
@@ -188,7 +208,9 @@ def fit(docs: DataFrame) -> dict[str, int]:
             for text in batch.column("text").to_pylist():
                 at, text = 0, text or ""
                 for start, end in values(text):
-                    asked.update(w.lower() for w in RUN.findall(text[start:end]))
+                    # What a value shares with one before it has been looked at.
+                    if end > at:
+                        asked.update(w.lower() for w in RUN.findall(text[max(start, at) : end]))
                     if start > at:
                         seen.update(WORD.findall(text[at:start].lower()))
                     at = max(at, end)
