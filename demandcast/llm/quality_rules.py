@@ -125,7 +125,12 @@ def quality(docs: DataFrame) -> DataFrame:
     verdicts and an empty table stays empty. Only a column named `quality` clashes;
     it is replaced.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumn("quality", verdict_of(docs["text"]))
+
+
+def verdict_of(whole: Column) -> Column:
+    """The struct of quality() for a text."""
+    text = F.coalesce(whole, F.lit(""))
 
     def figures(words):
         chars = F.length(F.array_join(words, ""))
@@ -160,7 +165,7 @@ def quality(docs: DataFrame) -> DataFrame:
             failed.alias("base_failed"),
             lines["n_bad"].cast("long").alias("n_bad_lines"),
             left.alias("kept_chars"),
-            F.when(F.col("text").isNotNull(), lines["cleaned"]).alias("cleaned"),
+            F.when(whole.isNotNull(), lines["cleaned"]).alias("cleaned"),
             (~failed & (100 * left >= LEAST_KEPT * chars)).alias("kept"),
         )
 
@@ -169,13 +174,19 @@ def quality(docs: DataFrame) -> DataFrame:
         bind(bind(suspicious(text), judged_lines), survey).alias("lines"),
         number_of(text, SYMBOLS).alias("symbols"),
     )
-    return docs.withColumn("quality", bind(found, verdict))
+    return bind(found, verdict)
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
-    """The rows that pass, without their failed lines; n_chars follows the text."""
-    judged = quality(docs).where(F.col("quality.kept"))
-    out = judged.withColumn("text", F.col("quality.cleaned"))
+    """The rows that pass, without their failed lines; n_chars follows the text.
+
+    Null texts and texts without words go; repeated rows stay or go together; an empty table stays
+    empty. Columns keep their names and values, whatever they are called. The verdict
+    comes out of a generator, so that filter and projection read one evaluation of the rules.
+    """
+    judged = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.explode(F.array(verdict_of(docs["text"]))).alias("verdict"))
+    new = {"text": F.col("verdict.cleaned")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("verdict.cleaned").cast(docs.schema["n_chars"].dataType)
+    kept = judged.where("verdict.kept")
+    return kept.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
