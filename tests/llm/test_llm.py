@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -68,6 +69,18 @@ def test_encoder_equals_library_on_random_texts():
     assert ids.tolist() == [i for x in expected for i in x]
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_chunks_with_equal_hashes_are_told_apart(n):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"{other} {word} {other}", word, f"x {other}"]
+    encode, library = Encoder(BPE), Tokenizer.from_file(BPE)
+    ids, counts = encode(pa.array(texts))
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in expected]
+    assert ids.tolist() == [i for x in expected for i in x]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_encoder_of_other_tokenizers(name):
     texts = ["Hello  World", "", "été"]
@@ -420,10 +433,31 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_have_the_stated_edits():
+    draw = random.Random(9)
+    for size in range(8, 40):
+        item = "".join(draw.choice("abcdefghij") for _ in range(size))
+        block = decontaminate.prepared([(1, item)], 0.1)
+        for _ in range(12):
+            cut = list(item)
+            for _ in range(draw.randrange(size // 10 + 2)):
+                cut[draw.randrange(len(cut))] = draw.choice(["", "z", "ab"])
+            text = "zz zz " + "".join(cut) + " zz"
+            assert bool(next(decontaminate.search([text], block))) == plain_occurs(item, text, size // 10)
+
+
+def test_a_long_repetitive_text_takes_linear_time():
+    block = decontaminate.prepared([(1, "ab" * 100)], 0.1)
+    start = time.perf_counter()
+    found = next(decontaminate.search([("ab" * 95 + "x") * 1040], block))
+    assert len(found) > 900 and time.perf_counter() - start < 60
+    assert all(b[1] >= a[2] for a, b in zip(found, found[1:], strict=False))
+
+
 @pytest.mark.parametrize("missing", [3, 5, 8, 12])
 def test_leaks_at_both_ends_of_a_document(missing):
     items = [prose(400 + k, 40)[:150] for k in range(8)]
-    block = decontaminate.Items(list(range(8)), [decontaminate.normal(x)[0] for x in items], 0.1)
+    block = decontaminate.prepared(list(enumerate(items)), 0.1)
     whole = [prose(500 + k, 30) for k in range(8)]
     tails = [f"{t} {x[:-missing]}" for t, x in zip(whole, items, strict=True)]
     heads = [f"{x[missing:]} {t}" for t, x in zip(whole, items, strict=True)]
@@ -543,3 +577,27 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert rows(got, "doc_id", "length") == sorted(expected, key=str)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "packing"]
+
+
+def test_keep_clean_leaves_columns_alone_and_judges_once(spark):
+    text = "\n".join(f"{prose(900 + k, 30)}." for k in range(4))
+    docs = documents(spark, [text, "short", None, text + "\nclick here |||"])
+    for name in ("quality", "verdict", "row", "cleaned", "kept"):
+        docs = docs.withColumn(name, F.lit(name))
+    kept = quality_rules.keep_clean(docs)
+    assert kept.schema == docs.schema
+    got = kept.orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == [0, 3] and got[1].text == text and got[1].n_chars == len(text)
+    assert all(r[name] == name for r in got for name in ("quality", "verdict", "row", "cleaned", "kept"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(") == 1
+
+
+def test_many_nested_credential_contexts_take_linear_time():
+    text = "token=" * 60_000
+    start = time.perf_counter()
+    found = secret_scan.values(text)
+    assert found[0] == (6, len(text)) and len(found) == 59_999
+    secret_scan.guess_spans(text, secret_scan.base_spans(text), 9.0)
+    assert time.perf_counter() - start < 20
+    assert secret_scan.values('token="abcdef" secret: ab\xa0cdef, pwd=\'abcdef\nx\' key') == [(7, 13), (23, 30)]
