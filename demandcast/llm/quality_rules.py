@@ -181,12 +181,13 @@ def keep_clean(docs: DataFrame) -> DataFrame:
     """The rows that pass, without their failed lines; n_chars follows the text.
 
     Null texts and texts without words go; repeated rows stay or go together; an empty table stays
-    empty. Columns keep their names and values, whatever they are called. The verdict
-    comes out of a generator, so that filter and projection read one evaluation of the rules.
+    empty. Columns keep their names and values, whatever they are called.
     """
-    judged = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.explode(F.array(verdict_of(docs["text"]))).alias("verdict"))
-    new = {"text": F.col("verdict.cleaned")}
+    verdict = "verdict"
+    while verdict.lower() in map(str.lower, docs.columns):
+        verdict += "_"
+    judged = docs.withColumn(verdict, verdict_of(docs["text"])).where(F.col(f"{verdict}.kept"))
+    out = judged.withColumn("text", F.col(f"{verdict}.cleaned"))
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("verdict.cleaned").cast(docs.schema["n_chars"].dataType)
-    kept = judged.where("verdict.kept")
-    return kept.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
