@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandcast.llm.common import SPACES
+from demandcast.session import materialize
 
 # Fixed values of the base figures.
 SYMBOLS = "#*$%&|<>"
@@ -183,11 +184,9 @@ def keep_clean(docs: DataFrame) -> DataFrame:
     Null texts and texts without words go; repeated rows stay or go together; an empty table stays
     empty. Columns keep their names and values, whatever they are called.
     """
-    verdict = "verdict"
-    while verdict.lower() in map(str.lower, docs.columns):
-        verdict += "_"
-    judged = docs.withColumn(verdict, verdict_of(docs["text"])).where(F.col(f"{verdict}.kept"))
-    out = judged.withColumn("text", F.col(f"{verdict}.cleaned"))
+    passing = bind(verdict_of(docs["text"]), lambda v: F.when(v["kept"], v["cleaned"]))
+    # Stored, as a filter on the verdict would be pushed below it and judge every text twice.
+    out = materialize(docs.withColumn("text", passing), "judged").where("text IS NOT NULL")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
