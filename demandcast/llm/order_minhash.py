@@ -11,9 +11,12 @@ from demandcast.llm.tokens import chunk_hashes
 SHINGLE = 5
 SIMILAR = 0.8
 SAMPLED, BANDS = 4, 32
+#: Texts up to so many shingles have further, exact keys.
+SHORT = 9
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_SHORT_SEED = np.uint64(0x8EBC6AF09C88C6E3)
 
 
 def digest(text: str) -> bytes:
@@ -66,7 +69,10 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
     Two texts share a band's key if their least shingles are the same and stand in
     the same order: for shingle similarity s about s**SAMPLED. With 4 and 32 bands
-    a pair at 0.8 shares none with a chance of 5e-8. Shorter texts use what they have.
+    a long pair at 0.8 shares none with a chance of 5e-8. Draws without replacement
+    miss more short pairs, so texts of 4 to SHORT shingles also have the keys of
+    short_keys(); a pair that shares none of these is missed with at most 3e-6.
+    Texts of fewer than 4 shingles use what they have: at 0.8 these are equal lists.
     """
     if not len(shingles):
         return np.zeros(0, dtype=np.int64)
@@ -80,7 +86,24 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
         least = np.sort(np.argpartition(drawn, size - 1, axis=1)[:, :size], axis=1)
         for k in range(size):
             keys[part] = keys[part] * _ODD + labelled[least[:, k]]
-    return _mixed(keys).view(np.int64)
+    keys = _mixed(keys)
+    if SAMPLED <= len(shingles) <= SHORT:
+        keys = np.concatenate([keys, short_keys(shingles)])
+    return keys.view(np.int64)
+
+
+def short_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys of the whole list and of the list without any one shingle.
+
+    Two lists share a key if one is the other with a shingle put in, or if they
+    differ in one shingle that is replaced or moved.
+    """
+    lists = [shingles, *(np.delete(shingles, k) for k in range(len(shingles)))]
+    keys = np.full(len(lists), _SHORT_SEED, dtype=np.uint64)
+    for at, part in enumerate(lists):
+        for value in part:
+            keys[at : at + 1] = keys[at : at + 1] * _ODD + value
+    return np.unique(_mixed(keys))
 
 
 _SEEDS = (np.arange(BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)

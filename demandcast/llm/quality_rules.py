@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandcast.llm.common import SPACES
-from demandcast.session import materialize
 
 # Fixed values of the base figures.
 SYMBOLS = "#*$%&|<>"
@@ -185,8 +184,10 @@ def keep_clean(docs: DataFrame) -> DataFrame:
     empty. Columns keep their names and values, whatever they are called.
     """
     passing = bind(verdict_of(docs["text"]), lambda v: F.when(v["kept"], v["cleaned"]))
-    # Stored, as a filter on the verdict would be pushed below it and judge every text twice.
-    out = materialize(docs.withColumn("text", passing), "judged").where("text IS NOT NULL")
+    # A filter is pushed below a plain expression and evaluates it again. A row number, never
+    # below 0, holds it above, so each text is judged once.
+    passing = F.when(F.monotonically_increasing_id() >= 0, passing)
+    out = docs.withColumn("text", passing).where("text IS NOT NULL")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

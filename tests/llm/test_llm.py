@@ -599,3 +599,16 @@ def test_many_nested_credential_contexts_take_linear_time():
     secret_scan.guess_spans(text, secret_scan.base_spans(text), 9.0)
     assert time.perf_counter() - start < 20
     assert secret_scan.values('token="abcdef" secret: ab\xa0cdef, pwd=\'abcdef\nx\' key') == [(7, 13), (23, 30)]
+
+
+@pytest.mark.parametrize("n", range(4, 10))
+def test_short_texts_at_the_limit_share_a_key(n):
+    draw = random.Random(n)
+    for _ in range(300):
+        words = [draw.choice("abcdefgh") + str(draw.randrange(50)) for _ in range(n + 4)]
+        keys = {}
+        for name, text in {"one": words, "more": [*words, "x"], "before": ["x", *words], "other": [*words[:-1], "x"]}.items():
+            keys[name] = set(order_minhash.sketch(order_minhash.shingle_hashes(order_minhash.word_hashes(" ".join(text)))).tolist())
+        for name in ("more", "before")[: 2 * (n < order_minhash.SHORT)]:
+            assert keys["one"] & keys[name]
+        assert keys["one"] & keys["other"]
