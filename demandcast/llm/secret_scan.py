@@ -6,11 +6,12 @@ from bisect import bisect_left
 from collections import Counter
 from math import log10
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandcast.llm.common import arrow
-from demandcast.session import scratch
+from demandcast.llm.quality_rules import holds_any
+from demandcast.session import materialize, scratch
 
 # The base shapes and their least lengths.
 ASSIGN = re.compile(
@@ -76,8 +77,8 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses that find `value` by its cheapest split into segments.
 
     Segments: a common word in any case and with digits for letters, a whole run of
-    letters that `ranks` (of fit()) knows, a date or
-    year, a block repeated, a walk over neighbouring keys or an alphabet, and
+    letters that `ranks` knows, a date or year,
+    a block repeated, a walk over neighbouring keys or an alphabet, and
     single characters by brute force. One pass over the positions; a segment is a
     word of bounded length or a run that is followed as far as it goes, so the time
     follows the length. An empty value costs 0.
@@ -185,50 +186,106 @@ def guess_spans(text: str, base, least: float, ranks: dict[str, int] = RANK) ->
     return out
 
 
-COUNTED = "word string, n bigint, asked boolean"
+COUNTED = "word string, n bigint"
+ASKED = "node binary, word string"
 
 
-def fit(docs: DataFrame) -> dict[str, int]:
-    """Ranks of the words of all documents that also occur as runs of letters in candidate values.
+def counted(docs: DataFrame) -> DataFrame:
+    """(word, n) of the words of all documents that occur twice or more outside of candidate values.
 
-    Words are counted outside of candidate values, so copies of a secret don't make
-    it a word, and those seen once are left out. A rank is the number of words seen
-    as often or more. Counts stay in the tasks; the driver and later the tasks get
-    one rank for each distinct run of candidate values that is a word.
+    Copies of a secret don't make it a word.
     """
 
     def count(batches):
-        seen, asked = Counter(), set()
-
-        def rows():
-            names = list(seen.keys() | asked)
-            return arrow(COUNTED, names, [seen[n] for n in names], [n in asked for n in names])
-
+        seen = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 at, text = 0, text or ""
                 for start, end in values(text):
-                    # What a value shares with one before it has been looked at.
-                    if end > at:
-                        asked.update(w.lower() for w in RUN.findall(text[max(start, at) : end]))
                     if start > at:
                         seen.update(WORD.findall(text[at:start].lower()))
                     at = max(at, end)
                 seen.update(WORD.findall(text[at:].lower()))
-                if len(seen) + len(asked) > HELD:
-                    yield rows()
-                    seen, asked = Counter(), set()
-        yield rows()
+                if len(seen) > HELD:
+                    yield arrow(COUNTED, list(seen.keys()), list(seen.values()))
+                    seen = Counter()
+        yield arrow(COUNTED, list(seen.keys()), list(seen.values()))
+
+    words = docs.select("text").mapInArrow(count, COUNTED)
+    return words.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
+
+
+def asked(docs: DataFrame) -> DataFrame:
+    """(node, word): the runs of letters in the candidate values of each distinct text."""
+
+    def runs(batches):
+        for batch in batches:
+            out = []
+            for name, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                at, found = 0, set()
+                for start, end in values(text):
+                    # What a value shares with one before it has been looked at.
+                    if end > at:
+                        found.update(w.lower() for w in RUN.findall(text[max(start, at) : end]))
+                    at = max(at, end)
+                out += [(name, word) for word in found]
+            if out:
+                yield arrow(ASKED, *zip(*out, strict=True))
 
-    counted = docs.select("text").mapInArrow(count, COUNTED).groupBy("word")
-    counted = counted.agg(F.sum("n").alias("n"), F.max("asked").alias("asked")).where("n >= 2")
+    return docs.select("node", "text").mapInArrow(runs, ASKED).distinct()
+
+
+def ranks_by_count(words: DataFrame) -> DataFrame:
+    """(n, rank) of every count: how many words are seen as often or more.
+
+    Running totals within a power of two of counts, after the totals of the (at
+    most 63) powers above.
+    """
+    numbers = words.groupBy("n").agg(F.count("*").alias("number")).withColumn("power", F.floor(F.log2("n")))
+    above = Window.orderBy(F.desc("power")).rowsBetween(Window.unboundedPreceding, -1)
+    powers = numbers.groupBy("power").agg(F.sum("number").alias("number"))
+    powers = powers.select("power", F.coalesce(F.sum("number").over(above), F.lit(0)).alias("before"))
+    within = Window.partitionBy("power").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    totals = numbers.withColumn("within", F.sum("number").over(within)).join(powers, "power")
+    return totals.select("n", (F.col("before") + F.col("within")).alias("rank"))
+
+
+def with_ranks(docs: DataFrame, known: str) -> DataFrame:
+    """`docs` and a map `known` of the ranks of words in each text's candidate values, null where there is none.
+
+    Ranks are joined to texts as tables; nothing of them goes through the driver.
+    Only texts that hold a credential context are joined.
+    """
+    text = F.coalesce(docs["text"], F.lit(""))
+    low = F.lower(text)
+    context = "(?i)" + CONTEXT.pattern.replace("(?P<", "(?<")
+    may = (holds_any(low, HINTS) & text.rlike(context)) | (low.contains("://") & text.rlike(ADDRESS.pattern))
+    node = F.unhex(F.md5(text))
     with scratch(docs.sparkSession) as store:
-        words = store(counted, "words")
-        rank, place = {}, 0
-        for n, number in words.groupBy("n").count().orderBy(F.desc("n")).collect():
-            place += number
-            rank[n] = place
-        return RANK | {w: min(rank[n], RANK.get(w, rank[n])) for w, n in words.where("asked").select("word", "n").collect()}
+        words = store(counted(docs), "words")
+        ranks = store(ranks_by_count(words), "ranks")
+        runs = store(asked(docs.where(may).select(node.alias("node"), text.alias("text"))), "asked")
+        found = runs.join(words, "word").join(ranks, "n").groupBy("node")
+        found = found.agg(F.map_from_entries(F.collect_list(F.struct("word", "rank"))).alias("ranks"))
+        found = materialize(found, "known_words")
+    own, name = known + "_", known + "__"
+    found = found.select(F.col("node").alias(name), F.col("ranks").alias(known))
+    marked = docs.where(may).withColumn(own, node)
+    marked = marked.join(found, F.col(own) == F.col(name), "left").drop(own, name)
+    none = F.lit(None).cast("map<string,bigint>").alias(known)
+    return docs.where(~may).select("*", none).unionByName(marked)
+
+
+def word_ranks(found) -> dict[str, int]:
+    """The ranks for guess_cost() from a map of with_ranks()."""
+    return {word: min(rank, RANK.get(word, rank)) for word, rank in found or ()}
+
+
+def free_name(columns) -> str:
+    name = "known"
+    while any(column.lower().startswith(name) for column in columns):
+        name = "_" + name
+    return name
 
 
 def written(spans) -> str:
@@ -247,35 +304,34 @@ def find_secrets(docs: DataFrame, least: float = 9.0) -> DataFrame:
     rows. An empty table gives an empty one. Other columns are left out.
     `least` is the log10 of guesses from which a value in a credential context
     counts as a secret; cheaper ones are placeholders or examples. The words of
-    all documents are counted first, see fit().
+    all documents are counted first, see with_ranks().
     """
-    ranks = fit(docs)
 
     def scan(batches):
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, text, found in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 base = base_spans(text or "")
-                more = guess_spans(text or "", base, least, ranks)
+                more = guess_spans(text or "", base, least, word_ranks(found))
                 counts = [sum(k == kind for _, _, k in base) for kind in KINDS[:3]]
                 digest = hashlib.sha256(written(base).encode()).hexdigest()
                 rows.append((doc, *counts, digest, written(base + more), len(more)))
             if rows:
                 yield arrow(FOUND, *zip(*rows, strict=True))
 
-    return docs.select("doc_id", "text").mapInArrow(scan, FOUND)
+    return with_ranks(docs.select("doc_id", "text"), "known").mapInArrow(scan, FOUND)
 
 
 def redact(docs: DataFrame, least: float = 9.0, mark: str = "[REDACTED]") -> DataFrame:
     """`docs` with every secret span replaced by `mark`; n_chars follows the text, null text stays null."""
     schema = docs.schema
     place = docs.columns.index("text")
-    ranks = fit(docs)
+    known = free_name(docs.columns)
 
-    def cover(text):
+    def cover(text, found):
         base = base_spans(text)
         out, end = [], 0
-        for a, b, _ in sorted(base + guess_spans(text, base, least, ranks)):
+        for a, b, _ in sorted(base + guess_spans(text, base, least, word_ranks(found))):
             if b > end:
                 out += [text[end:a], mark] if a >= end else []
                 end = b
@@ -285,8 +341,10 @@ def redact(docs: DataFrame, least: float = 9.0, mark: str = "[REDACTED]") -> Dat
         import pyarrow as pa
 
         for batch in batches:
-            texts = [None if t is None else cover(t) for t in batch.column(place).to_pylist()]
+            both = zip(batch.column(place).to_pylist(), batch.column(known).to_pylist(), strict=True)
+            texts = [None if t is None else cover(t, found) for t, found in both]
+            batch = batch.drop_columns([known])
             yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
 
-    out = docs.mapInArrow(replace, schema)
+    out = with_ranks(docs, known).mapInArrow(replace, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -612,3 +612,27 @@ def test_short_texts_at_the_limit_share_a_key(n):
         for name in ("more", "before")[: 2 * (n < order_minhash.SHORT)]:
             assert keys["one"] & keys[name]
         assert keys["one"] & keys["other"]
+
+
+def test_word_ranks_equal_plain_version(spark):
+    draw = random.Random(41)
+    texts = [" ".join(draw.choice(("amber", "cedar", "delta", "ember", "fjord", "grove")) for _ in range(draw.randint(1, 9))) for _ in range(60)]
+    texts += ["password is cedar_grove", "secret='Fjord-unseen9'", "http://me:amberember@x.net", None, "", texts[0], "password is cedar_grove"]
+    seen = Counter()
+    for text in texts:
+        text = text or ""
+        for start, end in reversed(secret_scan.values(text)):
+            text = text[:start] + " " * (end - start) + text[end:]
+        seen.update(secret_scan.WORD.findall(text.lower()))
+    counts = {w: n for w, n in seen.items() if n >= 2}
+    expected = {w: sum(m >= n for m in counts.values()) for w, n in counts.items()}
+    docs = documents(spark, texts).withColumn("known", F.lit(1)).withColumn("_known", F.lit(2))
+    name = secret_scan.free_name(docs.columns)
+    got = secret_scan.with_ranks(docs, name).collect()
+    assert len(got) == len(texts)
+    for row in got:
+        runs = {w.lower() for a, b in secret_scan.values(row["text"] or "") for w in secret_scan.RUN.findall(row["text"][a:b])}
+        assert (row[name] or {}) == {w: expected[w] for w in runs if w in expected}
+    covered = secret_scan.redact(docs)
+    assert covered.columns == docs.columns and {(r["known"], r["_known"]) for r in covered.collect()} == {(1, 2)}
+    assert secret_scan.redact(docs.limit(0)).count() == 0
