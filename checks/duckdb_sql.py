@@ -277,12 +277,47 @@ SELECT {KEYS}, {r('coalesce(g.selling_price, p.s, o.s)', CENT, 'selling_price')}
 FROM gappy g JOIN medians p USING (product_id), overall o
 """
 
+DATED = """
+    WITH texts AS (
+        SELECT o_orderkey, CASE
+            WHEN o_orderstatus = 'P' THEN ''
+            WHEN o_orderpriority LIKE '1%' THEN strftime(o_orderdate, '%Y-%m-%d')
+            WHEN o_orderpriority LIKE '2%' THEN strftime(o_orderdate, '%d.%m.%Y')
+            WHEN o_orderpriority LIKE '3%' THEN 'soon'
+            ELSE strftime(o_orderdate, '%m/%d/%Y') END AS date
+        FROM orders),
+    formats (place, date_format) AS (VALUES
+        (0, 'yyyy-M-d'), (1, 'yyyy/M/d'), (2, 'yyyyMMdd'), (3, 'M/d/yyyy'), (4, 'd/M/yyyy'), (5, 'M-d-yyyy'),
+        (6, 'd-M-yyyy'), (7, 'd.M.yyyy'), (8, 'yyyy-M-d H:m:s')),
+    tries AS (
+        SELECT o_orderkey, date, place, date_format, CAST(CASE place
+            WHEN 0 THEN try_strptime(date, '%Y-%m-%d') WHEN 1 THEN try_strptime(date, '%Y/%m/%d')
+            WHEN 2 THEN try_strptime(date, '%Y%m%d') WHEN 3 THEN try_strptime(date, '%m/%d/%Y')
+            WHEN 4 THEN try_strptime(date, '%d/%m/%Y') WHEN 5 THEN try_strptime(date, '%m-%d-%Y')
+            WHEN 6 THEN try_strptime(date, '%d-%m-%Y') WHEN 7 THEN try_strptime(date, '%d.%m.%Y')
+            WHEN 8 THEN try_strptime(date, '%Y-%m-%d %H:%M:%S') END AS DATE) AS day
+        FROM texts, formats),
+    fits AS (
+        SELECT place, date_format, count(*) FILTER (WHERE date <> '') AS n_texts, count(day) AS n_fit,
+            arg_min(day IS NOT NULL, o_orderkey) FILTER (WHERE date <> '') AS fits_first
+        FROM tries GROUP BY ALL)"""
+
 ORACLE = {
     "scan_sales": with_tables(f"SELECT {SALES_COLUMNS} FROM sales"),
     "scan_inventory": with_tables("SELECT * FROM inventory"),
     "normalize_columns": "SELECT * FROM part",
     "parse_dates": """
         SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderstatus = 'O'""",
+    "date_formats": DATED + """
+        SELECT place, date_format, n_texts, n_fit, fits_first FROM fits""",
+    "infer_dates": DATED + """
+        SELECT o_orderkey, day AS date FROM tries
+        WHERE place = (SELECT place FROM fits ORDER BY n_fit DESC, place LIMIT 1) AND day IS NOT NULL""",
+    "date_quarantine": DATED + """
+        SELECT o_orderkey, any_value(date) AS date,
+            CASE WHEN any_value(date) = '' THEN 'missing' WHEN count(day) > 0 THEN 'other format' ELSE 'no date' END AS reason
+        FROM tries GROUP BY o_orderkey
+        HAVING count(day) FILTER (WHERE place = (SELECT min(place) FROM fits WHERE fits_first)) = 0""",
     "outlier_filter": """
         SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
         WHERE l_extendedprice <= (SELECT quantile_cont(l_extendedprice, 0.999) FROM lineitem)""",

@@ -10,6 +10,7 @@ from demandcast.operators import (
     aggregate,
     boosting,
     clean,
+    dates,
     encode,
     evaluate,
     history,
@@ -110,6 +111,33 @@ def parse_dates(spark, folder):
     return clean.parse_dates(raw, "yyyy-MM-dd")
 
 
+def mixed_dates(spark, folder):
+    """Order dates as text: month first, ISO, day first or none, by priority and status."""
+    priority, day = F.substring("o_orderpriority", 1, 1), F.col("o_orderdate")
+    text = (
+        F.when(F.col("o_orderstatus") == "P", "")
+        .when(priority == "1", F.date_format(day, "yyyy-MM-dd"))
+        .when(priority == "2", F.date_format(day, "dd.MM.yyyy"))
+        .when(priority == "3", "soon")
+        .otherwise(F.date_format(day, "MM/dd/yyyy"))
+    )
+    return table(spark, folder, "orders").select("o_orderkey", text.alias("date"))
+
+
+def date_formats(spark, folder):
+    return dates.date_formats(mixed_dates(spark, folder), "date", ("o_orderkey",))
+
+
+def infer_dates(spark, folder):
+    rows, _ = dates.parse_inferred(mixed_dates(spark, folder), ("o_orderkey",), rule="most")
+    return rows
+
+
+def date_quarantine(spark, folder):
+    _, bad = dates.parse_inferred(mixed_dates(spark, folder), ("o_orderkey",))
+    return bad
+
+
 def outlier_filter(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     return clean.drop_outliers(lines, "l_extendedprice")
@@ -316,6 +344,9 @@ QUERIES = {
     "scan_inventory": star_inventory,
     "normalize_columns": normalize_columns,
     "parse_dates": parse_dates,
+    "date_formats": date_formats,
+    "infer_dates": infer_dates,
+    "date_quarantine": date_quarantine,
     "outlier_filter": outlier_filter,
     "daily_sales": daily_sales,
     "inventory_stock": lambda s, d: aggregate.inventory_stock(star_inventory(s, d)),
