@@ -104,15 +104,29 @@ def _values(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(least, VALUES)
 
 
+def _labels(row) -> np.ndarray:
+    """The labelled shingles of a (class, size, least); texts past KEPT have them labelled already."""
+    values = np.asarray(row[2], dtype=np.int64).view(np.uint64)
+    return occurrence_labelled(values) if row[1] <= KEPT else values
+
+
+def _label_set(row) -> set:
+    """The same as a set. Where no shingle comes twice the labels are the shingles."""
+    values = set(row[2])
+    return values if len(values) == len(row[2]) else set(_labels(row).view(np.int64).tolist())
+
+
 def close(rest, members):
     """Index pairs of two lists of (class, size, least) that may reach the similarity, classes apart;
     those with most in common come first."""
-    sets = [np.asarray(x[2], dtype=np.int64).view(np.uint64) for x in (*rest, *members)]
-    sets = [occurrence_labelled(s) if x[1] <= KEPT else s for s, x in zip(sets, (*rest, *members), strict=True)]
+    names: dict = {}
+    own = np.array([names.setdefault(x[0], len(names)) for x in (*rest, *members)])
+    apart = own[: len(rest), None] != own[None, len(rest) :]
     if len(rest) * len(members) <= 256:
-        rows, columns = [set(s.tolist()) for s in sets[: len(rest)]], [set(s.tolist()) for s in sets[len(rest) :]]
+        rows, columns = [_label_set(x) for x in rest], [_label_set(x) for x in members]
         common = np.array([[len(x & y) for y in columns] for x in rows], dtype=np.float32)
     else:
+        sets = [_labels(x) for x in (*rest, *members)]
         _, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         common = _rare(owner, index, (count[index] > 1) & (count[index] <= RARE), len(rest), len(members))
@@ -126,7 +140,6 @@ def close(rest, members):
     n = np.array([x[1] for x in rest], dtype=np.float32)[:, None]
     m = np.array([x[1] for x in members], dtype=np.float32)[None, :]
     need = np.where(np.maximum(n, m) <= KEPT, 4 * (n + m) / 9, ENOUGH * KEPT)
-    apart = np.array([[x[0] != y[0] for y in members] for x in rest])
     found = np.argwhere((common >= need - 1e-3) & (np.minimum(n, m) >= 0.8 * np.maximum(n, m)) & apart)
     return found[np.argsort(-common[found[:, 0], found[:, 1]], kind="stable")]
 
@@ -239,15 +252,26 @@ def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     texts = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi")
     texts = materialize(texts, "texts")
-    links = materialize(verified(star_pairs(members), texts), "links")
-    found = materialize(components(links), "classes")
+    found = materialize(components(verified(star_pairs(members), texts)), "classes")
     values = materialize(_values(texts), "values")
     more = materialize(verified(rest_pairs(members, found, values), texts), "links")
-    if more.isEmpty():
-        return found
-    # What is linked already enters as stars.
-    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return materialize(components(stars.unionByName(more)), "classes")
+    return found if more.isEmpty() else materialize(merged(found, more), "classes")
+
+
+def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The classes (node, component) joined along further links (a, b); nodes without a class are one by themselves.
+
+    A class enters the components as its least node, which names it, so their work follows
+    the links and not the nodes linked before.
+    """
+    for end in ("a", "b"):
+        known = found.select(F.col("node").alias(end), "component")
+        more = more.join(known, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    joined = materialize(components(more, "joined"), "joined")
+    heads = joined.withColumnRenamed("node", "component")
+    old = found.join(heads, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    new = joined.join(found, "node", "left_anti").select("node", F.col("joined").alias("component"))
+    return old.unionByName(new)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -282,8 +306,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whose hot keys adaptive execution splits.
     """
     rows = docs.select("doc_id", node(F.col("text")).alias("node"))
-    known = materialize(classes(docs).select("node", "class_id"), "classes")
-    return rows.join(known, "node").select("doc_id", "class_id")
+    return rows.join(classes(docs).select("node", "class_id"), "node").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

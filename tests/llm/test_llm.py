@@ -364,6 +364,31 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_further_links_join_whole_classes(spark, monkeypatch):
+    """The work of joining classes follows the further links, not the nodes that are linked already."""
+    links = [(k, k + 1) for k in range(0, 40) if k % 4 != 3] + [(100, 100 + k) for k in range(1, 300)]
+    further = [(3, 201), (200, 42), (9, 14), (14, 9), (50, 60), (60, 61), (42, None)]
+    found = components.components(spark.createDataFrame(links, "a bigint, b bigint"))
+    more, entered = spark.createDataFrame(further, "a bigint, b bigint"), []
+    whole = rows(components.components(spark.createDataFrame([*links, *further], "a bigint, b bigint")), "node", "component")
+
+    def counted(edges, label):
+        entered.append(edges.count())
+        return components.components(edges, label)
+
+    monkeypatch.setattr(near_duplicates, "components", counted)
+    assert rows(near_duplicates.merged(found, more), "node", "component") == whole
+    assert entered == [len(further)]
+    assert rows(near_duplicates.merged(found, more.limit(0)), "node", "component") == rows(found, "node", "component")
+
+
+def test_label_sets_equal_labels():
+    base = list(range(-5, 40))
+    for values in ([], [7], base, [*base, *base[:6]], [3] * 9):
+        row = ("c", len(values), values)
+        assert near_duplicates._label_set(row) == set(near_duplicates._labels(row).view(np.int64).tolist())
+
+
 def test_blocks_compare_as_sets_do():
     draw = np.random.default_rng(1)
     base = draw.integers(0, 1 << 60, 200)
