@@ -1,6 +1,7 @@
 """Boosting against plain numpy versions on small data."""
 
 import heapq
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -209,3 +210,27 @@ def test_constant_features_and_few_rows(spark):
         assert boosting.fit_boosted(rows, spec, borders, "p", ("a",)).predict(np.array([[1.0], [9.0]])).tolist() == [2.0, 2.0]
         with pytest.raises(ValueError):
             boosting.fit_boosted(rows.limit(0), spec, borders, "p", ("a",))
+
+
+@pytest.mark.parametrize("spec", [LeafWise(num_leaves=300, min_data_in_leaf=3), Symmetric(depth=10)])
+def test_split_search_of_many_nodes_takes_little_memory(spec, monkeypatch):
+    """In hyperparam_search, a level of 512 nodes took 5 times its histograms besides (1 GB a task)."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([0, 254, 3, 120, 254, 1, 254])
+    sums, node = np.zeros((256, 3, int((sizes + 1).sum()))), np.repeat(np.arange(256), 60)
+    g = rng.normal(size=len(node))
+    for end, n in zip(np.cumsum(sizes + 1), sizes, strict=True):
+        at = end - 1 - rng.integers(0, n + 1, len(node))
+        for k, x in enumerate((g, 1.0, 1.0)):
+            np.add.at(sums, (node, k, at), x)
+    allowed, noise = rng.random(sizes.sum()) < 0.9, rng.normal(size=sizes.sum())
+    whole = boosting.best_splits(spec, sums.copy(), sizes, 7, allowed, noise)
+    assert len(whole) == 256 and {w[0] for w in whole} == set(range(256))
+    monkeypatch.setattr(boosting, "AT_ONCE", 10_000, raising=False)
+    own = sums.copy()
+    tracemalloc.start()
+    parted = boosting.best_splits(spec, own, sizes, 7, allowed, noise)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parted == whole
+    assert peak < sums.nbytes / 2
