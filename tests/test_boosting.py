@@ -234,3 +234,63 @@ def test_split_search_of_many_nodes_takes_little_memory(spec, monkeypatch):
     tracemalloc.stop()
     assert parted == whole
     assert peak < sums.nbytes / 2
+
+
+GROWN = [
+    LeafWise(rounds=6, num_leaves=12, min_data_in_leaf=4, lambda_l1=0.5, lambda_l2=1.0, patience=0),
+    LeafWise(rounds=6, num_leaves=40, max_depth=5, min_data_in_leaf=9, feature_fraction=0.6, bagging_fraction=0.7, bagging_freq=2, patience=0),
+    Symmetric(rounds=6, depth=4, border_count=9, patience=0),
+    Symmetric(rounds=6, depth=7, bagging_temperature=0.0, random_strength=0.0, patience=0),
+]
+
+
+def test_many_rounds_of_many_models_are_few_jobs(spark, binned):
+    """hyperparam_search ran a job for every level of every round and ended by time."""
+    rows, borders = binned
+    folds = rows.withColumn("fold", F.col("valid").cast("int"))
+    context = spark.sparkContext
+    context.setJobGroup("few-jobs", "few jobs")
+    try:
+        models = boosting.fit_many(folds, [boosting.Job(replace(s, rounds=20)) for s in GROWN], borders, list("abcd"), NAMES)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert [m.rounds for m in models] == [int(np.argmin(m.curve)) + 1 for m in models] and {len(m.curve) for m in models} == {20}
+    assert len(context.statusTracker().getJobIdsForGroup("few-jobs")) < 10
+
+
+@pytest.mark.parametrize("spec", GROWN)
+def test_a_task_with_all_rows_grows_the_trees_that_several_tasks_grow(binned, spec, monkeypatch):
+    rows, borders = binned
+    folds = rows.withColumn("fold", F.col("valid").cast("int"))
+    alone = boosting.fit_many(folds, [boosting.Job(spec)], borders, ["p"], NAMES)[0]
+    monkeypatch.setattr(boosting, "TASK_ROWS", 200)
+    shared = boosting.fit_many(folds, [boosting.Job(spec)], borders, ["p"], NAMES)[0]
+    assert alone.curve == pytest.approx(shared.curve) and alone.rounds == shared.rounds
+    for a, b in zip(alone.trees, shared.trees, strict=True):
+        assert a.feature.tolist() == b.feature.tolist() and a.border.tolist() == b.border.tolist()
+        assert a.value == pytest.approx(b.value) and a.gain == pytest.approx(b.gain)
+
+
+def test_a_task_with_all_rows_grows_the_same_trees_in_any_order_of_rows():
+    rng = np.random.default_rng(8)
+    bins, y, keys = rng.integers(0, 4, (500, 6)).astype(np.uint8), rng.normal(0, 9, 500), rng.integers(0, 1 << 40, 500)
+    bins[:, 3] = bins[:, 1]  # equal gains
+    fold, sizes = rng.integers(0, 3, 500), np.full(6, 3)
+    for spec in GROWN:
+        found = []
+        for order in (np.arange(500), rng.permutation(500)):
+            blocks = [boosting.pickle.dumps((bins[o].tobytes(), y[o], keys[o], fold[o])) for o in np.array_split(order, 3)]
+            trees, errors = boosting._boost(blocks, boosting.Job(spec, 2), 0.5, [], range(4), sizes)
+            found.append([[getattr(t, c).tolist() for c in ("feature", "border", "left", "right", "value", "gain")] for t in trees])
+        assert found[0] == found[1] and len(errors) == 4
+        more = boosting._boost(blocks, boosting.Job(spec, 2), 0.5, trees[:2], range(2, 4), sizes)
+        assert [t.feature.tolist() for t in more[0]] == [t.feature.tolist() for t in trees[2:]] and more[1] == pytest.approx(errors[2:])
+
+
+def test_sums_of_rounded_gradients_have_no_error():
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1e3, 4000) ** 3
+    y = boosting._exact(x)
+    assert np.abs(y - x).max() <= 1e-12 * np.abs(x).sum()
+    assert y.sum() == y[::-1].cumsum()[-1] == y[rng.permutation(4000)].cumsum()[-1] == boosting.math.fsum(y)
+    assert boosting._exact(np.zeros(3)).tolist() == [0, 0, 0] and boosting._exact(np.zeros(0)).tolist() == []
