@@ -251,7 +251,7 @@ def test_many_rounds_of_many_models_are_few_jobs(spark, binned):
     context = spark.sparkContext
     context.setJobGroup("few-jobs", "few jobs")
     try:
-        models = boosting.fit_many(folds, [boosting.Job(replace(s, rounds=20)) for s in GROWN], borders, list("abcd"), NAMES)
+        models = boosting.fit_many(folds, [boosting.Job(replace(s, rounds=20)) for s in GROWN], borders, list("abcd"), NAMES, apart=True)
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
     assert [m.rounds for m in models] == [int(np.argmin(m.curve)) + 1 for m in models] and {len(m.curve) for m in models} == {20}
@@ -262,7 +262,7 @@ def test_many_rounds_of_many_models_are_few_jobs(spark, binned):
 def test_a_task_with_all_rows_grows_the_trees_that_several_tasks_grow(binned, spec, monkeypatch):
     rows, borders = binned
     folds = rows.withColumn("fold", F.col("valid").cast("int"))
-    alone = boosting.fit_many(folds, [boosting.Job(spec)], borders, ["p"], NAMES)[0]
+    alone = boosting.fit_many(folds, [boosting.Job(spec)], borders, ["p"], NAMES, apart=True)[0]
     monkeypatch.setattr(boosting, "TASK_ROWS", 200)
     shared = boosting.fit_many(folds, [boosting.Job(spec)], borders, ["p"], NAMES)[0]
     assert alone.curve == pytest.approx(shared.curve) and alone.rounds == shared.rounds
